@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from .chat import OP8_SQL, op8_chat_format
 from .idstore import op2_token_store
+from .linerules import OP4_SQL, op4_line_rules
 from .packing import op10_pack
 
 QUERIES = {
     "op2_token_store": op2_token_store,
+    "op4_line_rules": op4_line_rules,
+    "op8_chat_format": op8_chat_format,
     "op10_pack": op10_pack,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_line_rules": OP4_SQL,
+    "op8_chat_format": OP8_SQL,
+}
