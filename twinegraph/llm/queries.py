@@ -6,10 +6,12 @@ from .chat import OP8_SQL, op8_chat_format
 from .idstore import op2_token_store
 from .linerules import OP4_SQL, op4_line_rules
 from .packing import op10_pack
+from .secretscan import op6_secret_scan
 
 QUERIES = {
     "op2_token_store": op2_token_store,
     "op4_line_rules": op4_line_rules,
+    "op6_secret_scan": op6_secret_scan,
     "op8_chat_format": op8_chat_format,
     "op10_pack": op10_pack,
 }
