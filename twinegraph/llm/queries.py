@@ -7,12 +7,14 @@ from .idstore import op2_token_store
 from .linerules import OP4_SQL, op4_line_rules
 from .packing import op10_pack
 from .secretscan import op6_secret_scan
+from .suffix import op9_suffix_dedup
 
 QUERIES = {
     "op2_token_store": op2_token_store,
     "op4_line_rules": op4_line_rules,
     "op6_secret_scan": op6_secret_scan,
     "op8_chat_format": op8_chat_format,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pack": op10_pack,
 }
 
