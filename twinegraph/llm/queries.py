@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat_format
 from .idstore import op2_token_store
+from .jaccard import op7_jaccard_join
 from .linerules import OP4_SQL, op4_line_rules
 from .packing import op10_pack
 from .secretscan import op6_secret_scan
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_token_store": op2_token_store,
     "op4_line_rules": op4_line_rules,
     "op6_secret_scan": op6_secret_scan,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_chat_format": op8_chat_format,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pack": op10_pack,
