@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .byteconv import op3_quality_score
 from .chat import OP8_SQL, op8_chat_format
 from .idstore import op2_token_store
 from .jaccard import op7_jaccard_join
@@ -12,6 +13,7 @@ from .suffix import op9_suffix_dedup
 
 QUERIES = {
     "op2_token_store": op2_token_store,
+    "op3_quality_score": op3_quality_score,
     "op4_line_rules": op4_line_rules,
     "op6_secret_scan": op6_secret_scan,
     "op7_jaccard_join": op7_jaccard_join,
