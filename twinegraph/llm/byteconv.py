@@ -1,6 +1,7 @@
 """Operator 3: quality classifier, a byte-level convolutional network in numpy.
 
-A text's UTF-8 bytes are embedded, cut into overlapping chunks of ``WIDTH``
+A text's UTF-8 bytes are embedded, with one more channel that tells whether the last
+four bytes also stand ``NEAR[0]`` to ``NEAR[1]`` bytes earlier, cut into overlapping chunks of ``WIDTH``
 bytes every ``STRIDE`` bytes over the whole document (the end is padded), and
 each chunk meets ``FILTERS`` learned filters. Each filter's response is pooled twice
 over all chunks of the document, by its greatest and by its mean value, and a small
@@ -36,6 +37,8 @@ from .common import table
 
 WIDTH, STRIDE = 16, 8
 EMBED, FILTERS, HIDDEN = 6, 32, 16
+DEPTH = EMBED + 1
+NEAR = (2, 24)
 PAD = 256
 MOST_ROWS = 6000
 MOST_BYTES = 24 << 20
@@ -53,7 +56,7 @@ class ByteConv:
         f = lambda *s, scale: (r.standard_normal(s) * scale).astype(np.float32)
         self.p = {
             "E": f(257, EMBED, scale=0.5),
-            "W": f(WIDTH * EMBED, FILTERS, scale=1.4 / np.sqrt(WIDTH * EMBED)),
+            "W": f(WIDTH * DEPTH, FILTERS, scale=1.4 / np.sqrt(WIDTH * DEPTH)),
             "b": np.zeros(FILTERS, np.float32),
             "V": f(2 * FILTERS + 1, HIDDEN, scale=1.4 / np.sqrt(2 * FILTERS)),
             "c": np.zeros(HIDDEN, np.float32),
@@ -70,21 +73,34 @@ class ByteConv:
         x[: len(text)] = np.frombuffer(text, np.uint8)
         return x
 
-    def responses(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Chunks (n, WIDTH * EMBED) and filter responses (n, FILTERS) of padded byte numbers."""
-        e = self.p["E"][x]
+    @staticmethod
+    def recurs(x: np.ndarray) -> np.ndarray:
+        """Whether the four bytes that end at each place also end a little earlier."""
+        out = np.zeros(x.size, bool)
+        for lag in range(NEAR[0], min(NEAR[1], x.size - 4) + 1):
+            same = x[lag:] == x[:-lag]
+            out[lag + 3 :] |= same[3:] & same[2:-1] & same[1:-2] & same[:-3]
+        return out & (x != PAD)
+
+    def responses(self, x: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks (n, WIDTH * DEPTH) and filter responses (n, FILTERS) of padded byte numbers."""
+        e = np.empty((x.size, DEPTH), np.float32)
+        e[:, :EMBED] = self.p["E"][x]
+        e[:, EMBED] = again
         n = (x.size - WIDTH) // STRIDE + 1
-        view = np.lib.stride_tricks.as_strided(e, (n, WIDTH * EMBED), (STRIDE * EMBED * e.itemsize, e.itemsize))
+        view = np.lib.stride_tricks.as_strided(e, (n, WIDTH * DEPTH), (STRIDE * DEPTH * e.itemsize, e.itemsize))
         chunks = np.ascontiguousarray(view)
         return chunks, np.maximum(chunks @ self.p["W"] + self.p["b"], 0)
 
     def pooled(self, text: bytes) -> np.ndarray:
         x = self.padded(text)
         n = (x.size - WIDTH) // STRIDE + 1
+        again = self.recurs(x)
         top, total = np.zeros(FILTERS, np.float32), np.zeros(FILTERS, np.float64)
         for lo in range(0, n, BLOCK):
             k = min(BLOCK, n - lo)
-            _, h = self.responses(x[lo * STRIDE : lo * STRIDE + (k - 1) * STRIDE + WIDTH])
+            part = slice(lo * STRIDE, (lo + k - 1) * STRIDE + WIDTH)
+            _, h = self.responses(x[part], again[part])
             np.maximum(top, h.max(axis=0), out=top)
             total += h.sum(axis=0, dtype=np.float64)
         return np.concatenate([top, total / n, [np.log1p(len(text)) / 10]]).astype(np.float32)
@@ -96,7 +112,7 @@ class ByteConv:
 
     def gradients(self, text: bytes, label: float, weight: float) -> dict[str, np.ndarray]:
         p, x = self.p, self.padded(text)
-        chunks, h = self.responses(x)
+        chunks, h = self.responses(x, self.recurs(x))
         n = h.shape[0]
         at = h.argmax(axis=0)
         q = np.concatenate([h[at, np.arange(FILTERS)], h.mean(axis=0), [np.log1p(len(text)) / 10]]).astype(np.float32)
@@ -108,7 +124,7 @@ class ByteConv:
         dh = np.broadcast_to(dq[FILTERS : 2 * FILTERS] / n, h.shape).copy()
         dh[at, np.arange(FILTERS)] += dq[:FILTERS]
         dh *= h > 0
-        dchunks = (dh @ p["W"].T).reshape(n, WIDTH, EMBED)
+        dchunks = (dh @ p["W"].T).reshape(n, WIDTH, DEPTH)[:, :, :EMBED]
         de = np.zeros((x.size, EMBED), np.float32)
         for k in range(WIDTH // STRIDE):
             de[k * STRIDE : k * STRIDE + n * STRIDE] += dchunks[:, k * STRIDE : (k + 1) * STRIDE].reshape(n * STRIDE, EMBED)
