@@ -28,8 +28,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .pieces import encoder
 
 WINDOW = 4096
@@ -162,8 +163,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 2, w
                 yield rows_batch(packer.take())
         yield rows_batch(packer.finish())
 
-    from pyspark.sql import functions as F
-
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 

@@ -51,6 +51,8 @@ from .common import table, with_text, written
 
 LENGTH = 400
 MOST_GROUP = 20_000
+#: Small groups share a collection of about so many documents.
+AT_ONCE = 4096
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -212,7 +214,7 @@ def _anchor_rows(length: int, half: int):
                 first, last = np.maximum(at - reach, 0), np.minimum(at + length, x.size)
                 around = span_hash(prefix, first, last) + (at - first).astype(np.uint64)
                 out.append((own.view(np.int64), around.view(np.int64), np.full(at.size, doc), np.full(at.size, x.size), at))
-                if len(out) >= 2000 or at.size > 1 << 20:
+                if len(out) >= 500 or at.size > 1 << 20:
                     yield _batch(ANCHORS, *map(np.concatenate, zip(*out, strict=True)))
                     out = []
             if out:
@@ -232,7 +234,7 @@ def _surroundings(length: int, half: int):
                 for w in wanted:
                     p = w["place"]
                     out.append((w["key"], w["around"], x[max(0, p - reach) : p + length], max(0, reach - p)))
-                if len(out) >= 20_000:
+                if len(out) >= 4000:
                     yield _batch(SURROUNDINGS, *zip(*out, strict=True))
                     out = []
             if out:
@@ -311,7 +313,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most_group: int = MOST
         sizes = todo.groupBy("part").agg(F.count("*").alias("n")).where("n > 1")
         sized = todo.join(sizes, "part")
         small = sized.where((F.col("n") <= most_group) & (F.col("lo") < F.col("hi"))).drop("n")
-        results.append(small.repartition("part").sortWithinPartitions("part").mapInArrow(_compare(length, half, most_group), RANGES))
+        results.append(small.repartition("part").sortWithinPartitions("part").mapInArrow(_compare(length, half, min(most_group, AT_ONCE)), RANGES))
         results.append(sized.where("lo = hi").select("key", "around", "lo", "hi"))
         if sizes.where(F.col("n") > most_group).limit(1).count() == 0:
             break
