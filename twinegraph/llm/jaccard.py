@@ -288,7 +288,8 @@ def join_rows(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float =
     sized = sized.withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("class"), F.col("blocks"))).otherwise(0).cast("int"))
     wanted = written(sized.select("root", "class", "n_docs", F.col("one").alias("doc"), "blocks", "own"), "wanted")
     # One row stands for its class; a row that repeats it, id and text, is passed over again.
-    found = rows.select("doc", "bytes").join(wanted, "doc").dropDuplicates(["class"])
+    # ``wanted`` grows with the input, so it is never broadcast: the same exchange at every size.
+    found = rows.select("doc", "bytes").join(wanted.hint("merge"), "doc").dropDuplicates(["class"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = found.withColumn("with", other).select(
         "root", F.least("own", "with").alias("bi"), F.greatest("own", "with").alias("bj"), F.col("own").alias("side"), "class", "n_docs", "bytes")
