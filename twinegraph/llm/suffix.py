@@ -24,7 +24,8 @@ judged on the input.
 4. Windows with more different surroundings than ``most_group`` are first
    dealt out: one half of the starts needs its left part equal, the other its
    right part, so the part's hash joins the key and the range of starts is halved,
-   until a group is small enough or one start is left, where equal keys are equal strings.
+   until a group is small enough or one start is left. Rows that agree on all that a range can
+   cover are repeated there, and only one of them goes on.
    No group is ever larger than ``most_group`` in one task, and none is dropped.
 
 Byte equality in 2 and 4 rests on pairs of 64-bit hashes, in 3 on the bytes.
@@ -50,7 +51,8 @@ from pyspark.sql import functions as F
 from .common import table, with_text, written
 
 LENGTH = 400
-MOST_GROUP = 20_000
+#: Rows of one group in a task: some 150 MB with the two byte matrices.
+MOST_GROUP = 50_000
 #: Small groups share a collection of about so many documents.
 AT_ONCE = 4096
 
@@ -160,7 +162,7 @@ class CollectionOrder:
             f.close()
 
 
-NOTHING = 256  # stands where a text ends; no byte equals it
+NOTHING = 255  # stands where a text ends; no byte of UTF-8 equals it
 
 
 def repeated_starts(rows: np.ndarray, length: int) -> np.ndarray:
@@ -244,21 +246,29 @@ def _surroundings(length: int, half: int):
 
 
 def _part_keys(length: int, half: int):
-    """The hash of what a start between lo and hi needs: lo bytes before the anchor, length - hi from it on. Texts that end before have none."""
+    """part: the hash of what any start between lo and hi needs, lo bytes before the anchor and length - hi from it on; rows
+    whose text ends before are dropped. same: the hash of all that such starts can cover, as far as the text goes."""
     reach = length - half
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = dict(zip(b.schema.names, b.columns, strict=True))
-            lo, hi, skip = (cols[c].to_numpy() for c in ("lo", "hi", "skip"))
-            parts, keep = [], []
-            for i, x in enumerate(cols["bytes"].to_pylist()):
-                first, last = reach - lo[i] - skip[i], reach + length - hi[i] - skip[i]
-                if first >= 0 and last <= len(x):
-                    keep.append(i)
-                    parts.append(hashlib.blake2b(cols["key"][i].as_py().to_bytes(8, "little", signed=True) + bytes([lo[i] % 256, lo[i] // 256, hi[i] % 256, hi[i] // 256]) + x[first:last], digest_size=16).hexdigest())
+            lo, hi, skip = (cols[c].to_pylist() for c in ("lo", "hi", "skip"))
+            parts, same, keep = [], [], []
+            for i, (key, x) in enumerate(zip(cols["key"].to_pylist(), cols["bytes"].to_pylist(), strict=True)):
+                anchor = reach - skip[i]
+                first, last = anchor - lo[i], anchor + length - hi[i]
+                if first < 0 or last > len(x):
+                    continue
+                first0, last0 = max(0, anchor - hi[i]), min(len(x), anchor + length - lo[i])
+                head = b"%d %d %d " % (key, lo[i], hi[i])
+                keep.append(i)
+                parts.append(hashlib.blake2b(head + x[first:last], digest_size=16).hexdigest())
+                same.append(hashlib.blake2b(head + b"%d " % (anchor - first0) + x[first0:last0], digest_size=16).hexdigest())
             t = pa.Table.from_batches([b]).take(keep)
-            yield from t.set_column(t.schema.get_field_index("part"), "part", pa.array(parts, pa.string())).combine_chunks().to_batches()
+            for name, values in (("part", parts), ("same", same)):
+                t = t.set_column(t.schema.get_field_index(name), name, pa.array(values, pa.string()))
+            yield from t.combine_chunks().to_batches()
 
     return run
 
@@ -268,7 +278,7 @@ def _compare(length: int, half: int, at_once: int):
     reach = length - half
 
     def ranges(rows: list[tuple]) -> pa.RecordBatch:
-        wide = np.full((len(rows), reach + length), NOTHING, np.uint16)
+        wide = np.full((len(rows), reach + length), NOTHING, np.uint8)
         lo, hi = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
         for i, (_, _, x, skip, a, z) in enumerate(rows):
             wide[i, skip : skip + len(x)] = np.frombuffer(x, np.uint8)
@@ -311,18 +321,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most_group: int = MOST
     results = [kinds.where("n > 1").select("key", "around", F.lit(0).cast("long").alias("lo"), F.lit(reach).cast("long").alias("hi"))]
     while True:
         sizes = todo.groupBy("part").agg(F.count("*").alias("n")).where("n > 1")
-        sized = todo.join(sizes, "part")
-        small = sized.where((F.col("n") <= most_group) & (F.col("lo") < F.col("hi"))).drop("n")
+        small = todo.join(sizes.where(F.col("n") <= most_group), "part").drop("n")
         results.append(small.repartition("part").sortWithinPartitions("part").mapInArrow(_compare(length, half, min(most_group, AT_ONCE)), RANGES))
-        results.append(sized.where("lo = hi").select("key", "around", "lo", "hi"))
         if sizes.where(F.col("n") > most_group).limit(1).count() == 0:
             break
         # A hot window: each half of the starts needs more of the surroundings to be equal.
-        large = sized.where((F.col("n") > most_group) & (F.col("lo") < F.col("hi"))).drop("n")
+        large = todo.join(sizes.where(F.col("n") > most_group), "part")
         mid = F.floor((F.col("lo") + F.col("hi")) / 2)
         halves = large.withColumn("h", F.explode(F.array(F.struct(F.col("lo").alias("a"), mid.alias("z")), F.struct((mid + 1).alias("a"), F.col("hi").alias("z")))))
-        halves = halves.select("key", "around", "bytes", "skip", F.col("h.a").alias("lo"), F.col("h.z").alias("hi"), "part")
-        todo = written(halves.mapInArrow(_part_keys(length, half), halves.schema), "parts")
+        halves = halves.select("key", "around", "bytes", "skip", F.col("h.a").alias("lo"), F.col("h.z").alias("hi"), "part", F.lit("").alias("same"))
+        halves = written(halves.mapInArrow(_part_keys(length, half), halves.schema), "parts")
+        # Rows that agree on all that the half can cover are repeated throughout it, and one of them goes on.
+        twice = halves.groupBy("part", "same").agg(F.count("*").alias("n")).where("n > 1")
+        results.append(halves.join(twice, ["part", "same"]).select("key", "around", "lo", "hi"))
+        todo = written(halves.dropDuplicates(["part", "same"]).drop("same"), "parts")
     ranges = results[0]
     for r in results[1:]:
         ranges = ranges.unionByName(r)
