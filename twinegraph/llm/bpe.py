@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .pieces import MOST_KEPT, ORDINARY, PATTERNS, byte_letters
+from .pieces import MOST_KEPT, ORDINARY, PATTERNS, Kept, byte_letters
 
 #: Stands for the end of a word inside the automaton; no byte's letter.
 END = "￿"
@@ -130,8 +130,8 @@ class WordBpe:
         self.special_cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
         self.cut = regex.compile(PATTERNS["word"]).findall
         self.letters = byte_letters()
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = Kept(self._word)
+        self.pieces = Kept(lambda piece: b"".join(map(self.words.__getitem__, self.cut(piece))))
         texts = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
         for t, i in [*vocab.items(), *self.special.items()]:
             texts[i] = t.encode() + b" "
@@ -139,12 +139,8 @@ class WordBpe:
         self.flat = np.frombuffer(b"".join(texts), np.uint8)
 
     def _word(self, word: str) -> bytes:
-        if (out := self.words.get(word)) is None:
-            if len(self.words) > MOST_KEPT:
-                self.words = {}
-            found = self.merges.encode(word.encode().decode("latin-1").translate(self.letters) + END)
-            out = self.words[word] = array("I", [self.merges.ids[t] for t in found]).tobytes()
-        return out
+        found = self.merges.encode(word.encode().decode("latin-1").translate(self.letters) + END)
+        return array("I", [self.merges.ids[t] for t in found]).tobytes()
 
     def _plain(self, text: str) -> bytes:
         if ORDINARY.search(text):
@@ -152,15 +148,7 @@ class WordBpe:
             pieces = regex.split(r"\s+", text.replace("Σ", "σ").lower())
         else:
             pieces = text.lower().split()
-        try:
-            return b"".join(map(self.pieces.__getitem__, pieces))
-        except KeyError:
-            if len(self.pieces) > MOST_KEPT:
-                self.pieces = {}
-            for p in pieces:
-                if p not in self.pieces:
-                    self.pieces[p] = b"".join(map(self._word, self.cut(p)))
-            return b"".join(map(self.pieces.__getitem__, pieces))
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

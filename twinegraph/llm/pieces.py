@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import regex
@@ -19,7 +20,8 @@ import regex
 ORDINARY = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ɏ]")
 #: White space at which a byte-level cut would need to look beyond its own piece.
 UNEVEN = ("  ", " \n", "\n ", "\n\n", "\t", "\r")
-MOST_KEPT = 400_000
+#: Entries of the younger half of a table of kept results.
+MOST_KEPT = 300_000
 #: The patterns by which the two public tokenizers cut text before they merge.
 PATTERNS = {
     "byte": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
@@ -34,6 +36,23 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
 
 
+class Kept(dict):
+    """Results by piece, made at their first use. Two halves bound it: when the younger is full it becomes the older, and what is used again moves back."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= MOST_KEPT:
+            self.older = dict(self)
+            self.clear()
+        if (out := self.older.get(piece)) is None:
+            out = self.make(piece)
+        self[piece] = out
+        return out
+
+
 class PieceEncoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers.
 
@@ -51,27 +70,22 @@ class PieceEncoder:
         self.kind = kind
         self.cut = regex.compile(PATTERNS[kind]).findall
         self.letters = byte_letters()
-        self.kept: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.merges = self.tokenizer.model.tokenize
+        self.words = Kept(self._word)
+        self.kept = Kept(self._piece)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        if piece.lstrip(" ").isalpha():  # letters alone, after a blank or not, are one pre-token
+            return self._word(piece)
+        return b"".join(map(self.words.__getitem__, self.cut(piece)))
+
     def _word(self, word: str) -> bytes:
         """Ids of one pre-token, by the library's own merges."""
-        if (ids := self.words.get(word)) is None:
-            if len(self.words) > MOST_KEPT:
-                self.words = {}
-            found = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-            ids = self.words[word] = array("I", [t.id for t in found]).tobytes()
-        return ids
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.kept) > MOST_KEPT:
-            self.kept = {"": b""}
-        for p in pieces:
-            if p not in self.kept:
-                self.kept[p] = b"".join(map(self._word, self.cut(p)))
+        plain = word.replace(" ", self.letters[32]) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merges(plain)]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -84,11 +98,7 @@ class PieceEncoder:
             return self._whole(text)
         else:
             pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        try:
-            return b"".join(map(self.kept.__getitem__, pieces))
-        except KeyError:
-            self._learn(pieces)
-            return b"".join(map(self.kept.__getitem__, pieces))
+        return b"".join(map(self.kept.__getitem__, pieces))
 
 
 _made: dict[tuple[str, str], PieceEncoder] = {}

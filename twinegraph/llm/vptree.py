@@ -159,9 +159,11 @@ def _search(longest: float, k: int, factor: float, first: bool):
         q = np.asarray([a[2] for a in asked])
         bound = np.asarray([np.inf if a[4] is None else a[4] for a in asked])
         for a, qv, (at, dist) in zip(asked, q, tree.search(as_query(q), k + 1, bound, factor), strict=True):
+            reach = float(dist[-1]) if dist.size == k + 1 else None
+            if a[4] is not None:  # what the first pass found is at least as near
+                at = at[dist <= a[4] * (1 + 1e-9) + 1e-6]
             scores = (own[at] * qv).sum(axis=1)
             found = sorted((-s, i) for s, e in zip(scores.tolist(), at.tolist(), strict=True) for i in entries[e][3] if i != a[1])[:k]
-            reach = float(dist[-1]) if dist.size == k + 1 else None
             if first and not found:
                 out.append((a[1], None, None, reach))
             out.extend((a[1], i, -s, reach) for s, i in found)
