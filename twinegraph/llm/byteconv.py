@@ -134,7 +134,7 @@ class ByteConv:
 
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> ByteConv:
         good = labels.mean() if labels.size else 0.5
-        if not 0 < good < 1:  # nothing to tell apart
+        if not labels.size or not 0 < good < 1:  # nothing to tell apart
             for k in ("u", "E"):
                 self.p[k][...] = 0
             good = (labels.sum() + 1) / (labels.size + 2)

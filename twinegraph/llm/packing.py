@@ -50,14 +50,12 @@ class Packer:
         self.ready: list[tuple] = []
 
     def _level(self, s: int) -> int:
-        """The level to put s tokens on. Taking a window from h to h+s changes the sum of squares by 2 (N[h+s] - N[h] + 1), with N = 0 at both ends."""
+        """The level to put s tokens on. Taking a window from h to h + s changes the sum of squares by 2 N[h+s] + 1 - 2 N[h] + 1; a new window takes from no level and a full one adds to none."""
         w, n = self.window, self.counts
         top = w - s
-        gain = n[s : w + 1] - n[: top + 1]
-        gain[0] -= 1  # a new window leaves no level: 2 N[s] + 1, one step less
-        if s == w:
-            return 0
-        gain[top] -= 1  # a full window enters no level
+        gain = 2 * (n[s : w + 1] - n[: top + 1])
+        gain[0] -= 1
+        gain[top] -= 1
         usable = n[: top + 1] > 0
         usable[0] = True
         gain = np.where(usable, gain, np.iinfo(np.int64).max)
