@@ -191,7 +191,7 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, np.nonzero(step == -1)[1] - 1
 
 
-ANCHORS = "key long, around long, doc long, n_bytes long, place long"
+ANCHORS = "key long, around long, doc long, n_bytes long, places array<long>"
 SURROUNDINGS = "key long, around long, bytes binary, skip long"
 RANGES = "key long, around long, lo long, hi long"
 
@@ -203,8 +203,15 @@ def _batch(schema: str, *cols) -> pa.RecordBatch:
 
 
 def _anchor_rows(length: int, half: int):
+    """A row per document, window and surroundings, with all the places where the document has them: what repeats inside a document stays one row."""
     reach = length - half
 
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        key, around, doc, size, times, places = map(np.concatenate, zip(*out, strict=True))
+        offsets = np.concatenate([[0], np.cumsum(times)])
+        cols = [pa.array(c, pa.int64()) for c in (key, around, doc, size)] + [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(places, pa.int64()))]
+        return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in ANCHORS.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
@@ -214,13 +221,18 @@ def _anchor_rows(length: int, half: int):
                     continue
                 at, own, prefix = anchors(x, length, half)
                 first, last = np.maximum(at - reach, 0), np.minimum(at + length, x.size)
-                around = span_hash(prefix, first, last) + (at - first).astype(np.uint64)
-                out.append((own.view(np.int64), around.view(np.int64), np.full(at.size, doc), np.full(at.size, x.size), at))
+                around = (span_hash(prefix, first, last) + (at - first).astype(np.uint64)).view(np.int64)
+                own = own.view(np.int64)
+                order = np.lexsort((at, around, own))
+                own, around = own[order], around[order]
+                new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (around[1:] != around[:-1])]))
+                times = np.diff(np.append(new, at.size))
+                out.append((own[new], around[new], np.full(new.size, doc), np.full(new.size, x.size), times, at[order]))
                 if len(out) >= 500 or at.size > 1 << 20:
-                    yield _batch(ANCHORS, *map(np.concatenate, zip(*out, strict=True)))
+                    yield batch(out)
                     out = []
             if out:
-                yield _batch(ANCHORS, *map(np.concatenate, zip(*out, strict=True)))
+                yield batch(out)
 
     return run
 
@@ -311,10 +323,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most_group: int = MOST
     reach = length - half
     long = docs.where(F.col("n_bytes") >= length)
     found = written(long.select("doc", "bytes").mapInArrow(_anchor_rows(length, half), ANCHORS), "anchors")
-    windows = found.groupBy("key").agg(F.count("*").alias("n"), F.min("around").alias("least"), F.max("around").alias("most")).where(F.col("n") > 1)
+    times = F.sum(F.size("places")).alias("n")
+    windows = found.groupBy("key").agg(times, F.min("around").alias("least"), F.max("around").alias("most")).where(F.col("n") > 1)
     again = written(found.join(windows, "key").select(*found.columns, (F.col("least") != F.col("most")).alias("mixed")), "again")
     mixed = again.where("mixed")
-    kinds = written(mixed.groupBy("key", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc", "n_bytes", "place")).alias("one")), "kinds")
+    kinds = written(mixed.groupBy("key", "around").agg(times, F.min(F.struct("doc", "n_bytes", F.element_at("places", 1).alias("place"))).alias("one")), "kinds")
     wanted = kinds.select("one.doc", "one.n_bytes", F.struct("key", "around", "one.place").alias("w")).groupBy("doc", "n_bytes").agg(F.collect_list("w").alias("wanted"))
     around = long.join(wanted, ["doc", "n_bytes"]).select("bytes", "wanted").mapInArrow(_surroundings(length, half), SURROUNDINGS).dropDuplicates(["key", "around"])
     todo = written(around.select("*", F.lit(0).cast("long").alias("lo"), F.lit(reach).cast("long").alias("hi"), F.col("key").cast("string").alias("part")), "around")
@@ -338,13 +351,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most_group: int = MOST
     ranges = results[0]
     for r in results[1:]:
         ranges = ranges.unionByName(r)
-    places = ["doc", "n_bytes", "place", "lo", "hi"]
-    hit = mixed.join(ranges, ["key", "around"]).select(*places).unionByName(
-        again.where("not mixed").select("doc", "n_bytes", "place", F.lit(0).cast("long").alias("lo"), F.lit(reach).cast("long").alias("hi")))
-    lo, hi = F.greatest("lo", F.col("place") + length - F.col("n_bytes")), F.least("hi", "place")
-    hit = hit.withColumns({"lo": lo, "hi": hi}).where("lo <= hi")
-    hit = hit.select("doc", "n_bytes", (F.col("place") - F.col("hi")).alias("first"), (F.col("place") - F.col("lo") + length).alias("last")).distinct()
-    return hit.groupBy("doc", "n_bytes").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    hit = mixed.join(ranges, ["key", "around"]).select("doc", "n_bytes", "places", "lo", "hi").unionByName(
+        again.where("not mixed").select("doc", "n_bytes", "places", F.lit(0).cast("long").alias("lo"), F.lit(reach).cast("long").alias("hi")))
+    # A start is in the text, and so is its string's end.
+    lo, hi = lambda p: F.greatest(F.col("lo"), p + length - F.col("n_bytes")), lambda p: F.least(F.col("hi"), p)
+    inside = F.filter("places", lambda p: lo(p) <= hi(p))
+    spans = F.transform(inside, lambda p: F.struct((p - hi(p)).alias("first"), (p - lo(p) + length).alias("last")))
+    hit = hit.select("doc", "n_bytes", spans.alias("spans")).where(F.size("spans") > 0)
+    return hit.groupBy("doc", "n_bytes").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def cut(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
