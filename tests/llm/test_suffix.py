@@ -69,7 +69,7 @@ def test_empty_table(spark):
 
 def test_collection_order_and_files(tmp_path):
     rows = np.random.default_rng(5).integers(0, 3, (40, 12)).astype(np.uint16)
-    c = suffix.CollectionOrder(rows, str(tmp_path))
+    c = suffix.CollectionOrder(np.ascontiguousarray(rows.T), str(tmp_path))
     for column in reversed(range(12)):
         before = c.order.copy()
         c.insert(column)

@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from .common import table, with_text, written
 
 LENGTH = 400
-#: Rows of one group in a task: some 150 MB with the two byte matrices.
+#: Rows of one group in a task: some 100 MB with their byte matrix.
 MOST_GROUP = 50_000
 #: Small groups share a collection of about so many documents.
 AT_ONCE = 4096
@@ -124,10 +124,11 @@ class CollectionOrder:
     block of the transform, and the common prefixes to the files of ``folder``.
     """
 
-    def __init__(self, rows: np.ndarray, folder: str | None = None):
-        self.columns = np.ascontiguousarray(rows.T)
-        self.order = np.arange(rows.shape[0])
-        self.common = np.zeros(rows.shape[0], np.int64)
+    def __init__(self, columns: np.ndarray, folder: str | None = None):
+        """columns: one row per column of the documents."""
+        self.columns = columns
+        self.order = np.arange(columns.shape[1])
+        self.common = np.zeros(columns.shape[1], np.int64)
         self.files = [open(os.path.join(folder, x), "ab") for x in ("transform", "prefixes")] if folder else []
 
     def insert(self, column: int) -> None:
@@ -165,14 +166,14 @@ class CollectionOrder:
 NOTHING = 255  # stands where a text ends; no byte of UTF-8 equals it
 
 
-def repeated_starts(rows: np.ndarray, length: int) -> np.ndarray:
-    """rows: ``reach`` bytes before an anchor, then ``length`` from it on. Entry [i, s]: whether the string of ``length``
-    that starts s before the anchor of row i is also in another row at the same place."""
-    reach = rows.shape[1] - length
-    found = np.zeros((rows.shape[0], reach + 1), bool)
+def repeated_starts(columns: np.ndarray, length: int) -> np.ndarray:
+    """columns: of documents of ``reach`` bytes before an anchor, then ``length`` from it on. Entry [i, s]: whether the string of
+    ``length`` that starts s before the anchor of document i is also in another one at the same place."""
+    reach = columns.shape[0] - length
+    found = np.zeros((columns.shape[1], reach + 1), bool)
     with tempfile.TemporaryDirectory() as folder:
-        c = CollectionOrder(rows, folder)
-        for column in reversed(range(rows.shape[1])):
+        c = CollectionOrder(columns, folder)
+        for column in reversed(range(columns.shape[0])):
             c.insert(column)
             if column <= reach:
                 same = c.common >= length
@@ -290,13 +291,17 @@ def _compare(length: int, half: int, at_once: int):
     reach = length - half
 
     def ranges(rows: list[tuple]) -> pa.RecordBatch:
-        wide = np.full((len(rows), reach + length), NOTHING, np.uint8)
+        columns = np.empty((reach + length, len(rows)), np.uint8)
         lo, hi = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
-        for i, (_, _, x, skip, a, z) in enumerate(rows):
-            wide[i, skip : skip + len(x)] = np.frombuffer(x, np.uint8)
-            lo[i], hi[i] = max(a, reach + length - skip - len(x)), min(z, reach - skip)
+        for k in range(0, len(rows), 1024):
+            part = rows[k : k + 1024]
+            wide = np.full((len(part), reach + length), NOTHING, np.uint8)
+            for i, (_, _, x, skip, a, z) in enumerate(part):
+                wide[i, skip : skip + len(x)] = np.frombuffer(x, np.uint8)
+                lo[k + i], hi[k + i] = max(a, reach + length - skip - len(x)), min(z, reach - skip)
+            columns[:, k : k + len(part)] = wide.T
         s = np.arange(reach + 1)[None, :]
-        r, first, last = runs_of(repeated_starts(wide, length) & (s >= lo[:, None]) & (s <= hi[:, None]))
+        r, first, last = runs_of(repeated_starts(columns, length) & (s >= lo[:, None]) & (s <= hi[:, None]))
         key, around = np.asarray([x[0] for x in rows], np.int64), np.asarray([x[1] for x in rows], np.int64)
         return _batch(RANGES, key[r], around[r], first, last)
 
