@@ -72,15 +72,16 @@ class PieceEncoder:
         self.letters = byte_letters()
         self.merges = self.tokenizer.model.tokenize
         self.words = Kept(self._word)
+        self.lead = " " if kind == "byte" else ""
         self.kept = Kept(self._piece)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if piece.lstrip(" ").isalpha():  # letters alone, after a blank or not, are one pre-token
-            return self._word(piece)
-        return b"".join(map(self.words.__getitem__, self.cut(piece)))
+        if piece.isalpha():  # letters alone are one pre-token
+            return self._word(self.lead + piece)
+        return b"".join(map(self.words.__getitem__, self.cut(self.lead + piece)))
 
     def _word(self, word: str) -> bytes:
         """Ids of one pre-token, by the library's own merges."""
@@ -93,12 +94,12 @@ class PieceEncoder:
         if ORDINARY.search(text) or any(s in text for s in self.special):
             return self._whole(text)
         if self.kind == "word":
-            pieces = text.lower().split()
-        elif text[-1].isspace() or any(s in text for s in UNEVEN):
+            return b"".join(map(self.kept.__getitem__, text.lower().split()))
+        if text[-1].isspace() or any(s in text for s in UNEVEN):
             return self._whole(text)
-        else:
-            pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        return b"".join(map(self.kept.__getitem__, pieces))
+        pieces = text.split(" ")  # a lone blank opens a pre-token, so it belongs to the piece after it
+        first = pieces.pop(0)
+        return b"".join(map(self.words.__getitem__, self.cut(first))) + b"".join(map(self.kept.__getitem__, pieces))
 
 
 _made: dict[tuple[str, str], PieceEncoder] = {}
