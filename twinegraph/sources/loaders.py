@@ -99,7 +99,7 @@ def read_rdf_xml(spark: SparkSession, path: str) -> DataFrame:
     body = F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(<rdf:Description\b.*?</rdf:Description>)"), F.lit(1))).alias("d")
     rows = rows.select(body).select(F.regexp_extract("d", 'rdf:about="([^"]*)"', 1).alias("s"), F.explode(F.regexp_extract_all("d", F.lit(r"(?s)(<(?!rdf:Description\b)[\w:.-]+\b[^>]*/>|<(?!rdf:Description\b)[\w:.-]+\b[^>]*[^/]>[^<]*</|<(?!rdf:Description\b)[\w:.-]+>[^<]*</)"), F.lit(1))).alias("e"))
     target, lang, kind = (F.regexp_extract("e", f'{k}="([^"]*)"', 1) for k in ("rdf:resource", "xml:lang", "rdf:datatype"))
-    text = F.concat(F.lit('"'), sanitise_literal(F.regexp_extract("e", r"(?s)>([^<]*)</", 1)), F.lit('"'))
+    text = F.concat(F.lit('"'), F.replace(sanitise_literal(F.regexp_extract("e", r"(?s)>([^<]*)</", 1)), F.lit('"'), F.lit("'")), F.lit('"'))
     full = F.when(lang != "", F.concat(text, F.lit("@"), lang)).when(kind != "", F.concat(text, F.lit("^^"), F.regexp_replace(kind, "^" + XML_SCHEMA, "xsd:"))).otherwise(text)
     iri = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
     return rows.select(iri(F.col("s")).alias("s"), F.regexp_extract("e", r"^<([\w:.-]+)", 1).alias("p"), F.when(target != "", iri(target)).otherwise(full).alias("o")).distinct()
