@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, with_text, written
+from .common import give_back, table, with_text, written
 
 LENGTH = 400
 #: Rows of one group in a task: some 100 MB with their byte matrix.
@@ -234,6 +234,7 @@ def _anchor_rows(length: int, half: int):
                     out = []
             if out:
                 yield batch(out)
+        give_back()
 
     return run
 
@@ -254,6 +255,7 @@ def _surroundings(length: int, half: int):
                     out = []
             if out:
                 yield _batch(SURROUNDINGS, *zip(*out, strict=True))
+        give_back()
 
     return run
 
@@ -318,6 +320,8 @@ def _compare(length: int, half: int, at_once: int):
                 held.append(tuple(row))
         if held:
             yield ranges(held)
+        held = []
+        give_back()
 
     return run
 
@@ -395,10 +399,11 @@ DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for key, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            kept, removed, runs = cut(text, spans or [])
-            out.append((key, len(text), removed, runs, hashlib.sha256(kept).hexdigest()))
+        for key, text, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            kept, removed, runs = cut(x := text.as_py(), spans.as_py() or [])
+            out.append((key, len(x), removed, runs, hashlib.sha256(kept).hexdigest()))
         yield _batch(DIGESTS, *(zip(*out, strict=True) if out else [()] * 5))
+    give_back()
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
