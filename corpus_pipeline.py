@@ -2,7 +2,8 @@
 
 1. quality: documents that the byte-level classifier rejects go;
 2. near_duplicates: one document of each group of linked documents stays;
-3. repeated_strings: bytes inside strings of 400 bytes that occur twice or more are cut from the texts;
+3. repeated_strings: bytes inside strings of 400 bytes that occur twice or more are cut from the texts, and so are passages
+   of more than 50 words, whatever their bytes;
 4. secrets: spans of secrets are masked in the texts;
 5. packing: the texts become pieces of windows of 4096 tokens.
 
@@ -18,6 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from twinegraph.llm import byteconv, jaccard, packing, secretscan, suffix
 from twinegraph.llm.common import table, written
 
+#: Words of the least passage that repeated_strings cuts.
+PASSAGE = 51
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byteconv.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -28,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(docs)
+    return suffix.remove_repeats(docs, words=PASSAGE)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,18 @@ def test_stages(spark, folder):
     whole = corpus_pipeline.run(spark, path)
     assert {(x["doc_id"], x["doc_tokens"]) for x in whole.collect()} == {(x["doc_id"], x["doc_tokens"]) for x in seen["packing"]}
     assert len(corpus_pipeline.STAGES) == 5 and suffix.LENGTH == 400
+
+
+def test_repeated_passages_of_short_words_are_cut(spark):
+    r = random.Random(31)
+    prose = lambda n, most=8: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, most))) for _ in range(n))
+    passages = [prose(51), prose(60, 6), prose(51, 1), prose(55, 3).replace(" ", "\n", 20), prose(50, 9)]
+    alone = [(prose(80), prose(90)) for _ in range(40)]
+    texts = [f"{a} {passages[i % 8]} {b}" if i % 8 < len(passages) else f"{a} {b}" for i, (a, b) in enumerate(alone)]
+    texts += [passages[0], passages[3].replace("\n", " "), None, ""]
+    assert all(len(p) < 400 for p in passages)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {x["doc_id"]: x["text"] for x in corpus_pipeline.repeated_strings(spark, docs, "").collect()}
+    for i, (a, b) in enumerate(alone):
+        assert left[i] == (f"{a}  {b}" if i % 8 < len(passages) - 1 else texts[i])
+    assert [left[i] for i in range(40, 44)] == ["", "", None, ""]

@@ -30,6 +30,10 @@ judged on the input.
 
 Byte equality in 2 and 4 rests on pairs of 64-bit hashes, in 3 on the bytes.
 
+Passages counted in words (``remove_repeats`` with ``words``) go the same way: a text becomes
+a string of ``CODE`` bytes for each word, so ``words`` words are a string of one length, however
+short they are and whatever blanks stand between them. Equality of words rests on 32-bit hashes.
+
 Defined results: a null or empty text has nothing to remove; repeated rows are
 copies of each other; a null key is a key like any other; an empty table gives no rows;
 other columns are kept by ``remove_repeats`` and not read by the query.
@@ -55,6 +59,9 @@ LENGTH = 400
 MOST_GROUP = 50_000
 #: Small groups share a collection of about so many documents.
 AT_ONCE = 4096
+#: Bytes that stand for a word where passages are counted in words.
+CODE = 4
+WORD = r"[^\x20\x09-\x0D]+"
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -396,6 +403,35 @@ def _keyed(docs: DataFrame) -> DataFrame:
 DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def word_edges(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and end of each word, as ``WORD`` finds them."""
+    blank = (text == 32) | ((text >= 9) & (text <= 13))
+    step = np.diff(np.concatenate([[1], blank.astype(np.int8), [1]]))
+    return np.flatnonzero(step == -1), np.flatnonzero(step == 1)
+
+
+CODES = "doc long, n_bytes long, bytes binary"
+
+
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, n_bytes, bytes) of the texts' words, ``CODE`` bytes each, none of them NOTHING."""
+    for b in batches:
+        out = []
+        for text in b.column(1):
+            x = np.frombuffer(text.as_buffer(), np.uint8)
+            codes = (span_hash(prefix_hashes(x), *word_edges(x)) >> np.uint64(32)).astype("<u4")
+            out.append(np.minimum(codes.view(np.uint8), NOTHING - 1).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in out], pa.int64()), pa.array(out, pa.binary())], [x.split()[0] for x in CODES.split(", ")])
+    give_back()
+
+
+def word_spans(text: bytes, passages: list[dict], words: int) -> list[dict]:
+    """The bytes from the first word to the last of each passage; passages: spans of the text's codes. Words of which a span has a part only are not in it."""
+    first, last = word_edges(np.frombuffer(text, np.uint8)) if passages else (None, None)
+    inside = [(-(-p["first"] // CODE), p["last"] // CODE) for p in passages]
+    return [{"first": int(first[a]), "last": int(last[z - 1])} for a, z in inside if z - a >= words]
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
@@ -413,15 +449,28 @@ def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "bytes", "spans").mapInArrow(_digests, DIGESTS)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, most_group: int = MOST_GROUP) -> DataFrame:
-    """The rows with their texts cut; characters of which only a part is left go. ``n_chars`` follows where it exists."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, most_group: int = MOST_GROUP, words: int = 0) -> DataFrame:
+    """The rows with their texts cut; characters of which only a part is left go. ``n_chars`` follows where it exists.
+
+    With ``words``, every passage of so many words that also stands anywhere else goes too; both are judged on the input.
+    """
     keyed = _keyed(docs)
     spans = repeated_spans(keyed.select("doc", "n_bytes", "bytes"), length, most_group)
-    joined = keyed.join(spans, ["doc", "n_bytes"], "left").select(F.col("row").alias("doc"), "bytes", "spans")
+    kind = "array<struct<first:bigint,last:bigint>>"
+    if words:
+        coded = keyed.select("doc", "bytes").mapInArrow(_codes, CODES)
+        passages = repeated_spans(coded, CODE * words, most_group).select("doc", F.col("n_bytes").alias("n_coded"), F.col("spans").alias("passages"))
+        sizes = keyed.select("doc", "n_bytes", (CODE * F.regexp_count(F.coalesce("row.text", F.lit("")), F.lit(WORD))).cast("long").alias("n_coded")).distinct()
+        spans = spans.join(passages.join(sizes, ["doc", "n_coded"]).drop("n_coded"), ["doc", "n_bytes"], "full")
+    else:
+        spans = spans.withColumn("passages", F.lit(None).cast(kind))
+    joined = keyed.join(spans, ["doc", "n_bytes"], "left").select(F.col("row").alias("doc"), "bytes", "spans", "passages")
 
     @F.pandas_udf("string")
-    def left(bytes_: pd.Series, spans_: pd.Series) -> pd.Series:
-        return pd.Series([cut(x, list(s))[0].decode("utf-8", "ignore") for x, s in zip(bytes_, spans_, strict=True)], dtype=object)
+    def left(bytes_: pd.Series, spans_: pd.Series, passages_: pd.Series) -> pd.Series:
+        cuts = ((x, [*s, *word_spans(x, list(p), words)]) for x, s, p in zip(bytes_, spans_, passages_, strict=True))
+        return pd.Series([cut(x, s)[0].decode("utf-8", "ignore") for x, s in cuts], dtype=object)
 
-    joined = joined.withColumn("shorter", F.when(F.col("spans").isNotNull(), left("bytes", F.coalesce("spans", F.array().cast("array<struct<first:bigint,last:bigint>>")))))
+    none = F.array().cast(kind)
+    joined = joined.withColumn("shorter", F.when(F.col("spans").isNotNull() | F.col("passages").isNotNull(), left("bytes", F.coalesce("spans", none), F.coalesce("passages", none))))
     return joined.select(*with_text(docs.columns, F.coalesce("shorter", "doc.text")))
