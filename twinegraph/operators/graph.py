@@ -20,8 +20,9 @@ TRIPLE = ["s", "p", "o"]
 def inverse_closure(triples: DataFrame) -> DataFrame:
     """The distinct triples and, for each, the one that reads it backwards."""
     keys = [c for c in triples.columns if c not in TRIPLE]
-    back = triples.select(*keys, F.col("o").alias("s"), invert(F.col("p")).alias("p"), F.col("s").alias("o"))
-    return triples.select(*keys, *TRIPLE).unionByName(back).distinct()
+    # both directions from one pass over the rows: a union would read and work out its input twice
+    ways = F.array(F.struct(*TRIPLE), F.struct(F.col("o").alias("s"), invert(F.col("p")).alias("p"), F.col("s").alias("o")))
+    return triples.select(*keys, F.explode(ways).alias("t")).select(*keys, *[F.col(f"t.{c}").alias(c) for c in TRIPLE]).distinct()
 
 
 class KnowledgeGraph:
@@ -70,11 +71,26 @@ class KnowledgeGraph:
         return self.triples.groupBy("s", "p").agg((F.lit(1.0) / F.count("*")).alias("f"))
 
     def local_functionality_of(self, asked: DataFrame) -> DataFrame:
-        """asked: (id, s, p) lists; 1 / number of objects that all of a list's (s, p) share, 0 if there is none."""
-        size = asked.groupBy("id").agg(F.count("*").alias("k"))
-        shared = asked.join(self.triples, ["s", "p"]).groupBy("id", "o").agg(F.count("*").alias("n")).join(size, "id").where("n = k")
-        found = shared.groupBy("id").agg((F.lit(1.0) / F.count("*")).alias("f"))
-        return size.select("id").join(found, "id", "left").select("id", F.coalesce("f", F.lit(0.0)).alias("f"))
+        """asked: (id, s, p) lists, repeated rows count once; 1 / number of objects that all of a list's (s, p) share, 0 if there is none.
+
+        A list of one is a count of facts. A longer list only looks at the objects of its rarest (s, p), and of
+        those at the ones that have as many asked (s, p) at all as the list is long; each of them is
+        then looked up for the rest of the list. So the work follows the shortest lists of objects, not the longest.
+        """
+        asked = asked.select("id", "s", "p").distinct()
+        wanted = self.triples.join(asked.select("s", "p").distinct(), ["s", "p"], "left_semi")
+        degree = wanted.groupBy("s", "p").agg(F.count("*").alias("deg"))
+        rare = F.min(F.struct(F.coalesce("deg", F.lit(0)).alias("deg"), "s", "p")).alias("rare")
+        lists = cut(asked.join(degree, ["s", "p"], "left").groupBy("id").agg(F.count("*").alias("k"), rare).select("id", "k", "rare.*"))
+        many = lists.where("k > 1 and deg > 0")
+        held = wanted.groupBy("o").agg(F.count("*").alias("held")).where("held > 1")
+        near = wanted.join(many.select("s", "p").distinct(), ["s", "p"], "left_semi").join(held, "o")
+        maybe = many.alias("m").join(near.alias("n"), (F.col("m.s") == F.col("n.s")) & (F.col("m.p") == F.col("n.p")) & (F.col("held") >= F.col("k"))).select("id", "k", F.col("n.o").alias("o"))
+        shared = maybe.join(asked, "id").join(wanted, [*TRIPLE]).groupBy("id", "k", "o").agg(F.count("*").alias("n")).where("n = k")
+        found = shared.groupBy("id").agg(F.count("*").alias("n_shared"))
+        ones = lists.where("k = 1").select("id", F.col("deg").alias("n_shared"))
+        rest = lists.where("k > 1").select("id").join(found, "id", "left")
+        return ones.unionByName(rest).select("id", F.when(F.col("n_shared") > 0, F.lit(1.0) / F.col("n_shared")).otherwise(0.0).alias("f"))
 
     def triples_where(self, s: str | None = None, p: list[str] | None = None, o: str | None = None) -> DataFrame:
         out = self.triples
