@@ -6,6 +6,8 @@ optional language or datatype, or a bare number.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +57,11 @@ def numeric_normalization(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out a single time, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def split_literal(term: Column, dates: list[str] | None = None, least_digits: int = 0) -> Column:
     """struct(lex, kind, num, norm, lang, dtype) of a literal.
 
@@ -65,26 +72,35 @@ def split_literal(term: Column, dates: list[str] | None = None, least_digits: in
     """
     dates = DATE_TYPES if dates is None else dates
     quoted = term.startswith('"')
-    part = lambda i: F.when(quoted, F.nullif(F.regexp_extract(term, QUOTED, i), F.lit("")))
-    lex = F.when(quoted, F.regexp_extract(term, QUOTED, 1)).otherwise(term)
-    lang, dtype = part(3), part(5)
-    number = lang.isNull() & (lex.rlike(r"^[+-]?[0-9.]+$") | lex.rlike(r"^[+-]?[0-9.]+[Ee][+-]?[0-9]+$"))
-    # whole numbers must be written as they would be printed: no plus, no leading zero
-    whole = lex.rlike(INTEGER)
-    plain = lex.rlike(r"^-?(0|[1-9][0-9]*)$") & (lex != "-0")
-    num = F.when(number & whole & plain, lex.cast("double")).when(number & ~whole & lex.rlike(DECIMAL), lex.try_cast("double"))
-    signs = ~number & lex.rlike(DIGITS_AND_SIGNS) & (F.length(numeric_normalization(lex)) >= least_digits)
-    date = F.coalesce(dtype.isin(dates), F.lit(False))
-    kind = F.when(date, "date").when(num.isNotNull(), "number").when(number, "string").when(signs, "normalised").otherwise("string")
-    text = kind == "string"
-    return F.struct(
-        F.when(text & ~number, decode_escapes(lex)).otherwise(lex).alias("lex"),
-        kind.alias("kind"),
-        F.when(kind == "number", num).alias("num"),
-        F.when(kind == "normalised", F.concat(F.lit("normalized_"), numeric_normalization(lex))).alias("norm"),
-        lang.alias("lang"),
-        F.when(text & ~number, F.lit("xsd:string")).otherwise(dtype).alias("dtype"),
-    )
+    group = lambda i: F.when(quoted, F.nullif(F.regexp_extract(term, QUOTED, i), F.lit("")))
+    parts = F.struct(F.when(quoted, F.regexp_extract(term, QUOTED, 1)).otherwise(term).alias("lex"), group(3).alias("lang"), group(5).alias("dtype"))
+
+    def with_number(x: Column) -> Column:
+        lex = x["lex"]
+        number = x["lang"].isNull() & (lex.rlike(r"^[+-]?[0-9.]+$") | lex.rlike(r"^[+-]?[0-9.]+[Ee][+-]?[0-9]+$"))
+        # whole numbers must be written as they would be printed: no plus, no leading zero
+        plain = lex.rlike(r"^-?(0|[1-9][0-9]*)$") & (lex != "-0")
+        num = F.when(lex.rlike(INTEGER), F.when(plain, lex.cast("double"))).when(lex.rlike(DECIMAL), lex.try_cast("double"))
+        return F.struct(lex.alias("lex"), x["lang"].alias("lang"), x["dtype"].alias("dtype"), number.alias("number"), F.when(number, num).alias("num"))
+
+    def with_kind(x: Column) -> Column:
+        signs = ~x["number"] & x["lex"].rlike(DIGITS_AND_SIGNS) & (F.length(numeric_normalization(x["lex"])) >= least_digits)
+        kind = F.when(F.coalesce(x["dtype"].isin(dates), F.lit(False)), "date").when(x["num"].isNotNull(), "number").when(x["number"], "string").when(signs, "normalised").otherwise("string")
+        return F.struct(x.alias("x"), kind.alias("kind"))
+
+    def result(y: Column) -> Column:
+        x, kind = y["x"], y["kind"]
+        text = (kind == "string") & ~x["number"]
+        return F.struct(
+            F.when(text, decode_escapes(x["lex"])).otherwise(x["lex"]).alias("lex"),
+            kind.alias("kind"),
+            F.when(kind == "number", x["num"]).alias("num"),
+            F.when(kind == "normalised", F.concat(F.lit("normalized_"), numeric_normalization(x["lex"]))).alias("norm"),
+            x["lang"].alias("lang"),
+            F.when(text, F.lit("xsd:string")).otherwise(x["dtype"]).alias("dtype"),
+        )
+
+    return once(once(once(parts, with_number), with_kind), result)
 
 
 def is_close(a: Column, b: Column, rel: float = 1e-9) -> Column:

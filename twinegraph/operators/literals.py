@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import date_prefixes, is_close, is_literal, prefix_score, split_literal
+from .rounds import cut
 
 REL = 1e-9
 
@@ -32,11 +33,11 @@ def buckets(triples: DataFrame) -> DataFrame:
     return t.select("term", kind.alias("bucket"), F.col("lit.num").alias("num"), F.explode(keys).alias("key")).select("term", "bucket", "key", "num")
 
 
-def match_equal(b1: DataFrame, b2: DataFrame, bucket: str) -> DataFrame:
-    """(e1, e2, score): equal, non-empty keys of one bucket."""
-    a = b1.where((F.col("bucket") == bucket) & (F.trim("key", F.lit('"')) != "")).select(F.col("term").alias("e1"), "key")
-    b = b2.where(F.col("bucket") == bucket).select(F.col("term").alias("e2"), "key")
-    return a.join(b, "key").select("e1", "e2").distinct().withColumn("score", F.lit(1.0))
+def match_equal(b1: DataFrame, b2: DataFrame, *kinds: str) -> DataFrame:
+    """(e1, e2, score): equal, non-empty keys of the same bucket, one of ``kinds``; a join for all of them."""
+    a = b1.where(F.col("bucket").isin(*kinds) & (F.trim("key", F.lit('"')) != "")).select(F.col("term").alias("e1"), "bucket", "key")
+    b = b2.where(F.col("bucket").isin(*kinds)).select(F.col("term").alias("e2"), "bucket", "key")
+    return a.join(b, ["bucket", "key"]).select("e1", "e2").distinct().withColumn("score", F.lit(1.0))
 
 
 def match_date_prefix(b1: DataFrame, b2: DataFrame) -> DataFrame:
@@ -106,8 +107,8 @@ def match_embedding(e1: DataFrame, e2: DataFrame, threshold: float, block: int =
 
 def map_literals(triples1: DataFrame, triples2: DataFrame, seeds: DataFrame | None = None, embeddings: tuple[DataFrame, DataFrame] | None = None, threshold: float = 0.5) -> DataFrame:
     """(e1, e2, score) of all literals. Exact matches beat embeddings, seeds beat both."""
-    b1, b2 = buckets(triples1), buckets(triples2)
-    out = match_equal(b1, b2, "date").unionByName(match_date_prefix(b1, b2)).unionByName(match_quantity(b1, b2)).unionByName(match_equal(b1, b2, "digit")).unionByName(match_equal(b1, b2, "string"))
+    b1, b2 = cut(buckets(triples1)), cut(buckets(triples2))  # each is read several times
+    out = match_equal(b1, b2, "date", "digit", "string").unionByName(match_date_prefix(b1, b2)).unionByName(match_quantity(b1, b2))
     if embeddings is not None:
         strings1 = b1.where("bucket = 'string'").select(F.col("term").alias("e1"), "key")
         strings2 = b2.where("bucket = 'string'").select(F.col("term").alias("e2"), F.col("key").alias("key2"))

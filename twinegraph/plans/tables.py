@@ -32,6 +32,10 @@ def _cents(c: str) -> Column:
 
 def facts(spark: SparkSession, sf_dir: str, kb: int) -> DataFrame:
     """(s, p, o) of one graph, forwards only."""
+    return _rows(spark, sf_dir, kb).distinct()
+
+
+def _rows(spark: SparkSession, sf_dir: str, kb: int) -> DataFrame:
     x = "ab"[kb - 1]
     c, n, r = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
     o = read(spark, sf_dir, "orders")
@@ -55,11 +59,11 @@ def facts(spark: SparkSession, sf_dir: str, kb: int) -> DataFrame:
     out = rows[0]
     for other in rows[1:]:
         out = out.union(other)
-    return out.distinct()
+    return out
 
 
 def graph(spark: SparkSession, sf_dir: str, kb: int) -> DataFrame:
-    return inverse_closure(facts(spark, sf_dir, kb))
+    return inverse_closure(_rows(spark, sf_dir, kb))  # the closure drops repeated facts itself
 
 
 def _facts_sql(kb: int) -> str:
