@@ -30,6 +30,7 @@ def openea(assign: DataFrame, gold: DataFrame, prefix: str = "http://dbpedia.org
 def hits_and_mrr(gold: DataFrame, same_as: DataFrame, k: int = 10) -> DataFrame:
     """One row: Hit@1, Hit@k and mean reciprocal rank over the gold pairs; ranks up to k + 1 count for the last."""
     order = Window.partitionBy("e1").orderBy(F.desc("score"), "e2")
+    same_as = same_as.join(gold.select("e1").distinct(), "e1", "left_semi")  # no other node's ranks are asked for
     ranked = same_as.withColumn("r", F.row_number().over(order)).withColumn("top", F.rank().over(Window.partitionBy("e1").orderBy(F.desc("score"))) == 1)
     rows = gold.join(ranked.where(F.col("r") <= k + 1), ["e1", "e2"], "left")
     tied = F.coalesce(F.col("top"), F.lit(False))
