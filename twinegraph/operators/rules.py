@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import invert, is_literal
+from .rounds import cut
 
 PRIOR_SAME, PRIOR_OTHER = 1.0, 0.1
 SETTLED = 0.95
@@ -37,19 +38,25 @@ def predicate_prior(p: Column, q: Column) -> Column:
     return F.when(p == q, PRIOR_SAME).otherwise(PRIOR_OTHER)
 
 
-def bilateral_max(same_as: DataFrame) -> DataFrame:
-    """Pairs that are the best of their e1 and, among those, the best of their e2; a term that is its own partner keeps no other.
+def first_choice(same_as: DataFrame) -> DataFrame:
+    """The pairs that are the best of their e1. The maxima come from a grouped aggregate, which combines before the exchange."""
+    best = same_as.groupBy("e1").agg(F.max("score").alias("best"))
+    return same_as.join(best, "e1").where("score = best").select("e1", "e2", "score")
 
-    Maxima come from grouped aggregates, which combine before the exchange, and go back by a join.
-    """
-    best1 = same_as.groupBy("e1").agg(F.max("score").alias("best"))
-    rows = same_as.join(best1, "e1").where("score = best").drop("best")
-    best2 = rows.groupBy("e2").agg(F.max("score").alias("best"))
-    found = rows.join(best2, "e2").where("score = best").drop("best")
+
+def second_choice(rows: DataFrame) -> DataFrame:
+    """Of first choices those that are the best of their e2; a term that is its own partner keeps no other."""
+    best = rows.groupBy("e2").agg(F.max("score").alias("best"))
+    found = rows.join(best, "e2").where("score = best").drop("best")
     own = found.where("e1 = e2").select("e1")
     return found.join(own, "e1", "left_anti").unionByName(found.where("e1 = e2")).select("e1", "e2", "score")
 
 
+def bilateral_max(same_as: DataFrame) -> DataFrame:
+    """Pairs that are the best of their e1 and, among those, the best of their e2; a term that is its own partner keeps no other."""
+    return second_choice(first_choice(same_as))
+
+
 def best_scores(assign: DataFrame, side: str) -> DataFrame:
     return assign.groupBy(F.col(side).alias("node")).agg(F.max("score").alias("best"))
 
@@ -58,15 +65,48 @@ def degrees(triples: DataFrame) -> DataFrame:
     return triples.groupBy("s", "p").agg(F.count("*").alias("deg"))
 
 
+def bootstrap_blocks(t1: DataFrame, t2: DataFrame, assign: DataFrame, fun: DataFrame) -> DataFrame:
+    """(e1, p1, e2, p2, score): each assigned pair with each of its two predicates.
+
+    All objects around a pair by the same two predicates get one score, so it is worked out once
+    here, before any pair of objects is made.
+    """
+
+    def side(t: DataFrame, e: str, p: str, w: str) -> DataFrame:
+        per = t.groupBy("s", "p").agg(F.count("*").alias("deg"), F.count_if(~is_literal(F.col("o"))).alias("open")).where("open > 0")
+        return per.join(fun, "p").select(F.col("s").alias(e), F.col("p").alias(p), F.least(F.lit(1.0) / F.col("deg"), "f").alias(w))
+
+    rows = side(t1, "e1", "p1", "w1").join(assign, "e1").join(side(t2, "e2", "p2", "w2"), "e2")
+    score = F.least("score", "w1", "w2", predicate_prior(F.col("p1"), F.col("p2")), F.lit(1.0))
+    return rows.select("e1", "p1", "e2", "p2", score.alias("score")).where("score > 0")
+
+
+def _objects(t: DataFrame, e: str, p: str, o: str) -> DataFrame:
+    return t.where(~is_literal(F.col("o"))).select(F.col("s").alias(e), F.col("p").alias(p), F.col("o").alias(o))
+
+
+def bootstrap_rows(t1: DataFrame, t2: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(e1, e2, score): every pair of objects of every block. A pair stands as often as blocks hold it."""
+    rows = _objects(t1, "e1", "p1", "o1").join(blocks, ["e1", "p1"]).join(_objects(t2, "e2", "p2", "o2"), ["e2", "p2"])
+    return rows.select(F.col("o1").alias("e1"), F.col("o2").alias("e2"), "score")
+
+
 def bootstrap(t1: DataFrame, t2: DataFrame, assign: DataFrame, fun: DataFrame) -> DataFrame:
     """Scores of the objects around assigned pairs, by the predicates' functionality and prior."""
-    f1 = t1.join(degrees(t1), ["s", "p"]).join(fun.withColumnRenamed("f", "fp"), "p").where(~is_literal(F.col("o")))
-    f2 = t2.join(degrees(t2), ["s", "p"]).join(fun.withColumnRenamed("f", "fp"), "p").where(~is_literal(F.col("o")))
-    a = f1.select(F.col("s").alias("e1"), F.col("p").alias("p1"), F.col("o").alias("o1"), F.least(F.lit(1.0) / F.col("deg"), "fp").alias("w1"))
-    b = f2.select(F.col("s").alias("e2"), F.col("p").alias("p2"), F.col("o").alias("o2"), F.least(F.lit(1.0) / F.col("deg"), "fp").alias("w2"))
-    rows = a.join(assign, "e1").join(b, "e2")
-    score = F.least("score", "w1", "w2", predicate_prior(F.col("p1"), F.col("p2")))
-    return fuzzy_or(rows.select(F.col("o1"), F.col("o2"), score.alias("v")), ["o1", "o2"], F.col("v")).select(F.col("o1").alias("e1"), F.col("o2").alias("e2"), "score")
+    return fuzzy_or(bootstrap_rows(t1, t2, bootstrap_blocks(t1, t2, assign, fun)), ["e1", "e2"], F.col("score"))
+
+
+def bootstrap_first(t1: DataFrame, t2: DataFrame, blocks: DataFrame, others: DataFrame) -> DataFrame:
+    """``first_choice`` of the bootstrap's pairs and ``others`` (e1, e2, score), without making the other pairs.
+
+    A node's best score is the best of its blocks, and only blocks with that score are opened.
+    """
+    mine = _objects(t1, "e1", "p1", "o1")
+    top = mine.join(blocks.groupBy("e1", "p1").agg(F.max("score").alias("score")), ["e1", "p1"]).select(F.col("o1").alias("e1"), "score")
+    best = top.unionByName(others.select("e1", "score")).groupBy("e1").agg(F.max("score").alias("best"))
+    opened = mine.join(best.withColumnRenamed("e1", "o1"), "o1").join(blocks, ["e1", "p1"]).where("score = best")
+    rows = opened.join(_objects(t2, "e2", "p2", "o2"), ["e2", "p2"]).select(F.col("o1").alias("e1"), F.col("o2").alias("e2"), "score")
+    return rows.unionByName(others.join(best, "e1").where("score = best").select("e1", "e2", "score")).distinct()
 
 
 def inclusion(src: DataFrame, dst: DataFrame, assign: DataFrame, alpha: float) -> DataFrame:
@@ -94,26 +134,54 @@ def quasi_equivalence(sub12: DataFrame, sub21: DataFrame) -> DataFrame:
     return sub12.select("p", "q", "score").unionByName(back).groupBy("p", "q").agg(F.max("score").alias("score"))
 
 
-def evidence_search(t1: DataFrame, t2: DataFrame, assign: DataFrame, quasi: DataFrame, most: int = MOST_EVIDENCE) -> DataFrame:
-    """(s1, s2, o, pm, o2, q, va, vq): for each open node s1, what speaks for s2, one piece per neighbour on both sides."""
+def _open_facts(t1: DataFrame, assign: DataFrame, quasi: DataFrame, most: int) -> DataFrame:
+    """(s1, o, pm): for each open node s1 its ``most`` facts that promise most."""
     best1 = best_scores(assign, "e1")
     settled = best1.where(F.col("best") > SETTLED).select(F.col("node").alias("s1"))
     q_best = quasi.groupBy("p").agg(F.max("score").alias("q_best"))
     facts = t1.where(~is_literal(F.col("s"))).select(F.col("s").alias("s1"), "p", "o").join(settled, "s1", "left_anti")
     known = facts.join(best1.select(F.col("node").alias("o"), F.col("best").alias("a_best")), "o").join(q_best.select("p"), "p", "left_semi")
-    ev1 = known.select("s1", "o", invert(F.col("p")).alias("pm"), "a_best").join(q_best.withColumnRenamed("p", "pm"), "pm")
+    known = known.select("s1", "o", invert(F.col("p")).alias("pm"), "a_best").join(q_best.withColumnRenamed("p", "pm"), "pm")
     order = Window.partitionBy("s1").orderBy(F.desc(F.round(F.least("a_best", "q_best"), 9)), "o", "pm")
-    ev1 = ev1.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("s1", "o", "pm")
+    return known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("s1", "o", "pm")
+
+
+def _counterparts(t2: DataFrame, assign: DataFrame, quasi: DataFrame) -> DataFrame:
+    """(o, pm, o2, q, va, vq): what a fact's node and predicate may stand for in the other graph.
+
+    Of an o2's predicates those that fit pm best, which depends on no s1 and no s2 and so is settled before either is joined.
+    """
+    there = t2.where(~is_literal(F.col("o"))).select(F.col("s").alias("o2"), F.col("p").alias("q")).distinct()
     pairs = assign.select(F.col("e1").alias("o"), F.col("e2").alias("o2"), F.col("score").alias("va"))
-    other = t2.where(~is_literal(F.col("o"))).select(F.col("s").alias("o2"), F.col("p").alias("q"), F.col("o").alias("s2"))
     links = quasi.select(F.col("p").alias("pm"), "q", F.col("score").alias("vq")).where("vq > 0")
-    ev2 = ev1.join(pairs, "o").join(other, "o2").join(links, ["pm", "q"])
-    top = F.max("vq").over(Window.partitionBy("s1", "o", "pm", "o2"))
-    ev2 = ev2.withColumn("top", top).where("vq = top").drop("top")
-    one = Window.partitionBy("s1", "o", "pm", "s2").orderBy(F.desc("vq"), "o2", "q")
-    ev2 = ev2.withColumn("r", F.row_number().over(one)).where("r = 1").drop("r")
+    rows = there.join(links, "q").withColumn("top", F.max("vq").over(Window.partitionBy("o2", "pm"))).where("vq = top").drop("top")
+    return pairs.join(rows, "o2").select("o", "pm", "o2", "q", "va", "vq")
+
+
+def _others(t2: DataFrame) -> DataFrame:
+    return t2.where(~is_literal(F.col("o"))).select(F.col("s").alias("o2"), F.col("p").alias("q"), F.col("o").alias("s2"))
+
+
+def _one_each(pieces: DataFrame) -> DataFrame:
+    """A neighbour counts once on either side of a candidate pair."""
+    one = Window.partitionBy("s1", "s2", "o", "pm").orderBy(F.desc("vq"), "o2", "q")
+    pieces = pieces.repartition("s1", "s2").withColumn("r", F.row_number().over(one)).where("r = 1").drop("r")
     first = Window.partitionBy("s1", "s2", "o2", "q").orderBy(F.desc(F.round(F.least("va", "vq"), 9)), "o", "pm")
-    return ev2.withColumn("r", F.row_number().over(first)).where("r = 1").select("s1", "s2", "o", "pm", "o2", "q", "va", "vq")
+    return pieces.withColumn("r", F.row_number().over(first)).where("r = 1").select("s1", "s2", "o", "pm", "o2", "q", "va", "vq")
+
+
+def evidence_search(t1: DataFrame, t2: DataFrame, assign: DataFrame, quasi: DataFrame, most: int = MOST_EVIDENCE) -> DataFrame:
+    """(s1, s2, o, pm, o2, q, va, vq): for each open node s1, what speaks for s2, one piece per neighbour on both sides.
+
+    A fact of s1 with one counterpart that no other fact of s1 has gives pieces that can't
+    clash, so they go out as they are joined; only the others are sorted.
+    """
+    ways = _open_facts(t1, assign, quasi, most).join(_counterparts(t2, assign, quasi), ["o", "pm"]).repartition("s1")
+    n = lambda *by: F.count("*").over(Window.partitionBy("s1", *by))
+    ways = cut(ways.withColumn("alone", (n("o", "pm") == 1) & (n("o2", "q") == 1)))
+    pieces = ways.join(_others(t2), ["o2", "q"])
+    cols = ["s1", "s2", "o", "pm", "o2", "q", "va", "vq"]
+    return pieces.where("alone").select(*cols).unionByName(_one_each(pieces.where("not alone").select(*cols)))
 
 
 def evidence_selection(evidence: DataFrame, assign: DataFrame) -> DataFrame:
@@ -127,11 +195,53 @@ def evidence_selection(evidence: DataFrame, assign: DataFrame) -> DataFrame:
     return rows.join(kept, ["s1", "s2"]).withColumn("rk", F.row_number().over(order))
 
 
+#: Candidates that a fact may lead to before it counts as a hub. It decides the order of work, not the result.
+HUB = 64
+
+
+def chosen_evidence(t1: DataFrame, t2: DataFrame, assign: DataFrame, quasi: DataFrame, most: int = MOST_EVIDENCE, hub: int = HUB) -> DataFrame:
+    """``evidence_selection`` of ``evidence_search``, without pairing all nodes around a hub with each other.
+
+    Facts with few candidates go first and give each s1 a number of pieces that its best candidate has at least. A
+    candidate that only hubs speak for has as many pieces as s1 has hub facts at most. Where that is
+    fewer, hubs are only asked about the candidates found; where it isn't, all candidates of that s1 are made.
+    """
+    settled = best_scores(assign, "e2").where(F.col("best") > SETTLED).select(F.col("node").alias("s2"))
+    others = cut(_others(t2).join(settled, "s2", "left_anti"))
+    counterparts = _counterparts(t2, assign, quasi).join(others.groupBy("o2", "q").agg(F.count("*").alias("fan")), ["o2", "q"])
+    wide = counterparts.groupBy("o", "pm").agg((F.sum("fan") > hub).alias("hub"))
+    ways = _open_facts(t1, assign, quasi, most).join(counterparts.drop("fan"), ["o", "pm"]).join(wide, ["o", "pm"])
+    ways = cut(ways)
+    cols = ["s1", "s2", "o", "pm", "o2", "q", "va", "vq"]
+    few = _one_each(ways.where("not hub").join(others, ["o2", "q"]).select(*cols)).groupBy("s1", "s2").agg(F.count("*").alias("n"))
+    few = cut(few)
+    hubs = ways.where("hub").groupBy("s1").agg(F.count_distinct("o", "pm").alias("hubs"))
+    bounds = cut(few.groupBy("s1").agg(F.max("n").alias("least")).join(hubs, "s1", "full").select("s1", F.coalesce("least", F.lit(0)).alias("least"), F.coalesce("hubs", F.lit(0)).alias("hubs")))
+    asked = few.join(bounds.where("hubs < least"), "s1").where(F.col("n") + F.col("hubs") >= F.col("least")).select("s1", "s2")
+    pieces = asked.join(ways.drop("hub"), "s1").join(others, ["o2", "q", "s2"]).select(*cols)
+    deep = ways.join(bounds.where("hubs >= least").select("s1"), "s1", "left_semi").join(others, ["o2", "q"]).select(*cols)
+    rows = cut(_one_each(pieces.unionByName(deep)))
+    counts = rows.groupBy("s1", "s2").agg(F.count("*").alias("n"))
+    kept = counts.join(counts.groupBy("s1").agg(F.max("n").alias("most")), "s1").where("n = most").select("s1", "s2")
+    order = Window.partitionBy("s1", "s2").orderBy(F.desc(F.round(F.least("va", "vq"), 9)), "o", "pm", "o2", "q")
+    return rows.join(kept, ["s1", "s2"]).withColumn("rk", F.row_number().over(order))
+
+
 def _shared(chosen: DataFrame, triples: DataFrame, node: str, p: str) -> DataFrame:
-    """(s1, s2, rk, n): how many neighbours the first rk pieces have in common; a neighbour counts at rk when it is its rk-th."""
-    near = chosen.select("s1", "s2", "rk", F.col(node).alias("s"), F.col(p).alias("p")).join(triples.select("s", "p", F.col("o").alias("near")), ["s", "p"])
+    """(s1, s2, rk, n): how many neighbours the first rk pieces have in common.
+
+    One piece: its number of facts. More: what they share is among the neighbours of the first or of
+    the second piece, whichever has fewer, and those are looked up for the other pieces; a neighbour counts at rk when it is its rk-th.
+    """
+    facts = triples.select("s", "p", F.col("o").alias("near"))
+    asked = chosen.select("s1", "s2", "rk", F.col(node).alias("s"), F.col(p).alias("p")).join(facts.groupBy("s", "p").agg(F.count("*").alias("deg")), ["s", "p"])
+    first = asked.where("rk = 1").select("s1", "s2", "rk", F.col("deg").alias("n"))
+    several = asked.where("rk <= 2").groupBy("s1", "s2").agg(F.count("*").alias("k"), F.min(F.struct("deg", "s", "p")).alias("least")).where("k = 2")
+    near = several.select("s1", "s2", "least.s", "least.p").join(facts, ["s", "p"]).select("s1", "s2", "near")
+    held = asked.select("s1", "s2", "rk", "s", "p").join(near, ["s1", "s2"]).join(facts, ["s", "p", "near"], "left_semi")
     nth = F.row_number().over(Window.partitionBy("s1", "s2", "near").orderBy("rk"))
-    return near.withColumn("nth", nth).where("nth = rk").groupBy("s1", "s2", "rk").agg(F.count("*").alias("n"))
+    more = held.withColumn("nth", nth).where("nth = rk and rk > 1").groupBy("s1", "s2", "rk").agg(F.count("*").alias("n"))
+    return first.unionByName(more)
 
 
 def rule_scores(chosen: DataFrame, t1: DataFrame, t2: DataFrame, fun: DataFrame, fun2: DataFrame, longest: int = LONGEST_RULE) -> DataFrame:
@@ -155,10 +265,14 @@ def rule_scores(chosen: DataFrame, t1: DataFrame, t2: DataFrame, fun: DataFrame,
     return rows.groupBy(F.col("s1").alias("e1"), F.col("s2").alias("e2")).agg(F.max(score).alias("score")).where("score > 0")
 
 
-def guarded_merge(same_as: DataFrame, new: DataFrame, assign: DataFrame) -> DataFrame:
-    """New scores count where they beat both nodes' best assignment so far; the higher of old and new stays."""
+def guarded(new: DataFrame, assign: DataFrame) -> DataFrame:
+    """New scores that beat both nodes' best assignment so far."""
     b1 = best_scores(assign, "e1").select(F.col("node").alias("e1"), F.col("best").alias("b1"))
     b2 = best_scores(assign, "e2").select(F.col("node").alias("e2"), F.col("best").alias("b2"))
     bar = F.greatest(F.coalesce("b1", F.lit(0.0)), F.coalesce("b2", F.lit(0.0)))
-    fresh = new.join(b1, "e1", "left").join(b2, "e2", "left").where(F.col("score") > bar).select("e1", "e2", "score")
-    return monotone_merge(fresh, same_as.select("e1", "e2", "score"), ["e1", "e2"])
+    return new.join(b1, "e1", "left").join(b2, "e2", "left").where(F.col("score") > bar).select("e1", "e2", "score")
+
+
+def guarded_merge(same_as: DataFrame, new: DataFrame, assign: DataFrame) -> DataFrame:
+    """New scores count where they beat both nodes' best assignment so far; the higher of old and new stays."""
+    return monotone_merge(guarded(new, assign), same_as.select("e1", "e2", "score"), ["e1", "e2"])

@@ -432,13 +432,13 @@ def _(spark, d):
 @query("evidence_selection", G("SELECT s1, s2, o, pm, o2, q, rk FROM chosen", f"{START_CTE}, {EVIDENCE_CTE}"))
 def _(spark, d):
     a, now = _started(spark, d)
-    return rules.evidence_selection(rules.evidence_search(a.t1, a.t2, now.assign, now.quasi), now.assign).select("s1", "s2", "o", "pm", "o2", "q", "rk")
+    return rules.chosen_evidence(a.t1, a.t2, now.assign, now.quasi).select("s1", "s2", "o", "pm", "o2", "q", "rk")
 
 
 @query("ngram_rule_scores", G("SELECT e1, e2, round(score, 9) AS score FROM rule", f"{FUN2_CTE}, {START_CTE}, {EVIDENCE_CTE}, {RULE_CTE}"))
 def _(spark, d):
     a, now = _started(spark, d)
-    chosen = cut(rules.evidence_selection(rules.evidence_search(a.t1, a.t2, now.assign, now.quasi), now.assign))
+    chosen = cut(rules.chosen_evidence(a.t1, a.t2, now.assign, now.quasi))
     return shown(rules.rule_scores(chosen, a.t1, a.t2, a.fun, a.fun2), "score")
 
 

@@ -1,12 +1,17 @@
 """The whole alignment: literals, bootstrap, then rounds of entity and predicate rules until the scores stand still.
 
-Each round's state (``same_as`` and the two inclusions) is checkpointed, so that a
-plan never spans two rounds and a lost executor costs one round at most.
+Each round's state is written, so that a plan never spans two rounds and a lost executor costs one
+round at most. The start's pairs, which grow with the degrees of shared nodes, are no part of that
+state: the rounds need each node's best pairs only (``first``), which come from blocks of pairs with one score,
+and the pairs whose scores rose since (``risen``). All pairs are made once, when somebody asks for them.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,13 +33,21 @@ class Params:
 
 @dataclass
 class Alignment:
-    same_as: DataFrame
+    rows: DataFrame  # the start's pairs; a pair may repeat
+    risen: DataFrame | None
+    first: DataFrame
     assign: DataFrame
     sub12: DataFrame
     sub21: DataFrame
     quasi: DataFrame
     sums: list[float] = field(default_factory=list)
 
+    @property
+    def same_as(self) -> DataFrame:
+        """(e1, e2, score) of all pairs."""
+        rows = self.rows if self.risen is None else self.rows.unionByName(self.risen)
+        return rules.fuzzy_or(rows, ["e1", "e2"], F.col("score"))
+
 
 class Aligner:
     """Holds what does not change between rounds: both graphs and their functionalities."""
@@ -43,39 +56,60 @@ class Aligner:
         self.params = params or Params()
         self.t1, self.t2 = cut(t1.select("s", "p", "o")), cut(t2.select("s", "p", "o"))
         self.fun = cut(merge_least(functionality(self.t1), functionality(self.t2), ["p"]))
-        self.fun2 = cut(merge_least(pair_functionality(self.t1), pair_functionality(self.t2), ["pa", "pb"]))
+
+    @cached_property
+    def fun2(self) -> DataFrame:
+        return cut(merge_least(pair_functionality(self.t1), pair_functionality(self.t2), ["pa", "pb"]))
 
     def start(self, seeds: DataFrame | None = None, embeddings: tuple[DataFrame, DataFrame] | None = None) -> Alignment:
-        same = cut(map_literals(self.t1, self.t2, seeds, embeddings, self.params.init))
-        found = rules.bootstrap(self.t1, self.t2, rules.bilateral_max(same), self.fun)
-        same = cut(rules.monotone_merge(found, same, ["e1", "e2"]))
-        return self._predicates(same, None, [])
+        known = cut(map_literals(self.t1, self.t2, seeds, embeddings, self.params.init))
+        blocks = cut(rules.bootstrap_blocks(self.t1, self.t2, rules.bilateral_max(known), self.fun))
+        first = cut(rules.bootstrap_first(self.t1, self.t2, blocks, known))
+        rows = rules.bootstrap_rows(self.t1, self.t2, blocks).unionByName(known)
+        return self._predicates(rows, None, first, None)
 
-    def _predicates(self, same: DataFrame, before: Alignment | None, sums: list[float]) -> Alignment:
+    def _predicates(self, rows: DataFrame, risen: DataFrame | None, first: DataFrame, before: Alignment | None) -> Alignment:
         a = self.params.alpha
-        assign = cut(rules.bilateral_max(same))
+        assign = cut(rules.second_choice(first))
         sub12, sub21 = rules.inclusion(self.t1, self.t2, assign, a), rules.inclusion(self.t2, self.t1, rules.flipped(assign), a)
         if before is not None:
             sub12, sub21 = rules.monotone_merge(sub12, before.sub12, ["p", "q"]), rules.monotone_merge(sub21, before.sub21, ["p", "q"])
         sub12, sub21 = cut(sub12), cut(sub21)
-        total = same.agg(F.sum("score").alias("s")).first()["s"] or 0.0
-        return Alignment(same, assign, sub12, sub21, cut(rules.quasi_equivalence(sub12, sub21)), [*sums, total])
+        return Alignment(rows, risen, first, assign, sub12, sub21, cut(rules.quasi_equivalence(sub12, sub21)))
 
     def round(self, now: Alignment) -> Alignment:
-        found = rules.evidence_search(self.t1, self.t2, now.assign, now.quasi, self.params.gram_n)
-        chosen = cut(rules.evidence_selection(found, now.assign))
+        chosen = cut(rules.chosen_evidence(self.t1, self.t2, now.assign, now.quasi, self.params.gram_n))
         new = rules.rule_scores(chosen, self.t1, self.t2, self.fun, self.fun2)
-        same = cut(rules.guarded_merge(now.same_as, new, now.assign))
-        return self._predicates(same, now, now.sums)
-
-    def run(self, seeds: DataFrame | None = None, embeddings: tuple[DataFrame, DataFrame] | None = None) -> Alignment:
+        fresh = cut(rules.guarded(new, now.assign))
+        pair = ["e1", "e2"]
+        # A pair that was not its node's best and didn't rise can't become it.
+        first = cut(rules.first_choice(rules.monotone_merge(fresh, now.first, pair)))
+        risen = fresh if now.risen is None else cut(rules.monotone_merge(fresh, now.risen, pair))
+        return self._predicates(now.rows, risen, first, now)
+
+    def run(self, seeds: DataFrame | None = None, embeddings: tuple[DataFrame, DataFrame] | None = None, watch: Callable[[dict], None] | None = None) -> Alignment:
+        """Rounds until the sum of all scores moves by less than epsilon. ``watch`` gets a dict of each round's figures."""
+        began = time.time()
         now = self.start(seeds, embeddings)
-        for _ in range(self.params.most_rounds):
-            now = self.round(now)
+        now.rows = cut(now.same_as)  # once; later rounds only look pairs up in it
+        now.sums = [now.rows.agg(F.sum("score")).first()[0] or 0.0]
+        for i in range(self.params.most_rounds):
+            after = self.round(now)
+            after.sums = [*now.sums, now.sums[0] + self._gain(after)]
+            now = after
+            if watch is not None:
+                watch({"round": i + 1, "total": now.sums[-1], "change": now.sums[-1] - now.sums[-2], "risen": now.risen.count(), "assigned": now.assign.count(), "seconds": time.time() - began})
             if abs(now.sums[-1] - now.sums[-2]) < self.params.epsilon:
                 break
         return now
 
+    @staticmethod
+    def _gain(now: Alignment) -> float:
+        """What the risen pairs add to the sum of the start's scores."""
+        old = now.rows.select("e1", "e2", F.col("score").alias("old"))
+        more = F.greatest(F.col("score") - F.coalesce("old", F.lit(0.0)), F.lit(0.0))
+        return now.risen.join(old, ["e1", "e2"], "left").agg(F.sum(more)).first()[0] or 0.0
+
 
 def result_rows(a: Alignment, least_predicate: float = 0.1) -> DataFrame:
     """(left, relation, right, score): predicates above the limit in both directions, then all pairs of nodes."""
