@@ -17,7 +17,8 @@ Jaccard similarity of at least ``threshold`` are links.
 
 A pair at the threshold escapes all 32 bands of 6 values with a chance of 6e-5, and pruning with one
 of ``tolerance``; both fall fast above the threshold. There is no cap on buckets, components or partners:
-a component of m classes costs (m / block)^2 / 2 tasks, as its exact link counts need.
+a component of m classes costs (m / block)^2 / 2 tasks, as its exact link counts need. Blocks are
+bounded by rows and by bytes, so long near copies only make more of them; one text must fit a worker.
 
 Defined results: a null or blank text has no shingles and links to nothing, itself included;
 rows that repeat are copies of each other; a null doc_id takes part and is passed
@@ -45,6 +46,8 @@ TOLERANCE = 1e-6
 BANDS, ROWS = 32, 6
 FRESH, STEP = 96, 16
 BLOCK = 2048
+#: Bytes of texts in a block, as an average over a component's blocks.
+BLOCK_BYTES = 32 << 20
 
 _seeds = np.random.default_rng(70771)
 _mult = (_seeds.integers(1, 1 << 32, BANDS * ROWS + FRESH, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -98,15 +101,17 @@ def least_matches(threshold: float, tolerance: float, fresh: int = FRESH, step:
     return tuple(out)
 
 
-SETS = "doc long, n long, s1 long, s2 long, bands array<long>"
+SETS = "doc long, n_bytes long, n long, s1 long, s2 long, bands array<long>"
 
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, s1, s2, bands = [], [], [], []
+            size, n, s1, s2, bands = [], [], [], [], []
             for text in b.column(1):
-                s = shingles(text.as_buffer().to_pybytes(), words)
+                x = text.as_buffer().to_pybytes()
+                s = shingles(x, words)
+                size.append(len(x))
                 n.append(s.size)
                 s1.append(int(np.bitwise_xor.reduce(_stir(s + np.uint64(0x51)))) if s.size else 0)
                 s2.append(int(np.add.reduce(_stir(s ^ np.uint64(0xA7A7A7A7)))) if s.size else 0)
@@ -120,8 +125,8 @@ def _sets(words: int):
             lens = np.cumsum([0, *(x.size for x in bands)])
             flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(np.asarray(s1, np.uint64).view(np.int64)), pa.array(np.asarray(s2, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(flat))],
-                ["doc", "n", "s1", "s2", "bands"],
+                [b.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(np.asarray(s1, np.uint64).view(np.int64)), pa.array(np.asarray(s2, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(flat))],
+                ["doc", "n_bytes", "n", "s1", "s2", "bands"],
             )
 
     return run
@@ -253,24 +258,29 @@ def _link_rows(threshold: float, tolerance: float, words: int):
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b); root: the least node of its component.
 
-    Each round hooks both ends of an edge, and their present roots, to the lower
-    root and then follows roots of roots. Every round's labels are written, so lost executors cost one round.
+    Each round hooks every node to its least lower neighbour, follows these hooks to their ends, and puts the
+    ends in the place of the nodes: edges inside one tree go, repeated ones become one, so what is left shrinks with every round
+    and a hot group is a single node after the first. Every round is written, so lost executors cost one round.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = written(both, "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")), "labels")
+    way = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    edges = written(edges.where("a <> b").select(*way("a", "b")).distinct(), "edges")
+    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    labels = nodes.withColumn("root", F.col("node"))
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "a").withColumnRenamed("root", "ra"), "a")
-        seen = seen.join(labels.withColumnRenamed("node", "b").withColumnRenamed("root", "rb"), "b")
-        lower = seen.where("rb < ra")
-        news = lower.select(F.col("a").alias("node"), F.col("rb").alias("low")).unionByName(lower.select(F.col("ra").alias("node"), F.col("rb").alias("low")))
-        news = news.groupBy("node").agg(F.min("low").alias("low"))
-        hooked = labels.join(news, "node", "left").select("node", F.least("root", "low").alias("root"), F.col("low").isNotNull().alias("moved"))
-        hooked = written(hooked, "labels")
-        if hooked.where("moved").limit(1).count() == 0:
-            return hooked.select("node", "root")
-        roots = hooked.select(F.col("node").alias("root"), F.col("root").alias("upper"))
-        labels = written(hooked.join(roots, "root", "left").select("node", F.coalesce("upper", "root").alias("root")), "labels")
+        hooks = written(edges.groupBy("a").agg(F.min("b").alias("root")), "hooks")
+        while True:
+            upper = hooks.select(F.col("a").alias("root"), F.col("root").alias("upper"))
+            hooks = written(hooks.join(upper, "root", "left").select("a", F.coalesce("upper", "root").alias("root"), F.col("upper").isNotNull().alias("moved")), "hooks")
+            if hooks.where("moved").limit(1).count() == 0:
+                break
+            hooks = hooks.drop("moved")
+        ends = hooks.select(F.col("a").alias("end"), F.col("root").alias("over"))
+        labels = written(labels.join(ends, labels["root"] == ends["end"], "left").select("node", F.coalesce("over", "root").alias("root")), "labels")
+        one = edges.join(ends, edges["a"] == ends["end"]).select(F.col("over").alias("a"), "b")
+        both = one.join(ends, one["b"] == ends["end"], "left").select("a", F.coalesce("over", "b").alias("b"))
+        edges = written(both.where("a <> b").select(*way("a", "b")).distinct(), "edges")
+        if edges.limit(1).count() == 0:
+            return labels
 
 
 def join_rows(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, words: int = WORDS, block: int = BLOCK) -> DataFrame:
@@ -278,13 +288,19 @@ def join_rows(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float =
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("doc"), text.cast("binary").alias("bytes"))
     sets = rows.select("doc", "bytes").mapInArrow(_sets(words), SETS).withColumn("class", F.when(F.col("n") > 0, F.xxhash64("n", "s1", "s2")))
-    sets = written(sets.select("doc", "class", "bands"), "sets")
-    classes = written(sets.where("class is not null").groupBy("class").agg(F.count("*").alias("n_docs"), F.min("doc").alias("one"), F.first("bands").alias("bands")), "classes")
+    sets = written(sets.select("doc", "class", "n_bytes", "bands"), "sets")
+    classes = written(sets.where("class is not null").groupBy("class").agg(F.count("*").alias("n_docs"), F.min("doc").alias("one"), F.max("n_bytes").alias("n_bytes"), F.first("bands").alias("bands")), "classes")
     placed = classes.select("class", F.explode("bands").alias("band"))
     roots = placed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    edges = placed.join(roots, "band").where("class > low").select(F.col("class").alias("a"), F.col("low").alias("b")).distinct()
+    # A class has one low member per band at most. It keeps its edge to the least of them; the others
+    # get one to it instead, which in a group of many near copies is the same few edges for all.
+    hooks = placed.join(roots, "band").where("class > low").groupBy("class").agg(F.min("low").alias("to"), F.collect_set("low").alias("lows"))
+    ends = F.explode(F.concat(F.array("class"), F.array_remove("lows", F.col("to"))))
+    edges = hooks.select(ends.alias("a"), F.col("to").alias("b")).distinct()
     parts = components(edges).withColumnRenamed("node", "class")
-    sized = parts.join(parts.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "root").join(classes.select("class", "n_docs", "one"), "class")
+    parts = parts.join(classes.select("class", "n_docs", "n_bytes", "one"), "class")
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("n_bytes") / BLOCK_BYTES)).cast("int")
+    sized = parts.join(parts.groupBy("root").agg(blocks.alias("blocks")), "root")
     sized = sized.withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("class"), F.col("blocks"))).otherwise(0).cast("int"))
     wanted = written(sized.select("root", "class", "n_docs", F.col("one").alias("doc"), "blocks", "own"), "wanted")
     # One row stands for its class; a row that repeats it, id and text, is passed over again.
