@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -46,15 +47,28 @@ def corpus(seed, n=60):
     return [*out, "", "a" * 300, "a" * 200, "abc" * 100, "xyz" * 20, prose(3) * 9]
 
 
+def brute_passages(texts, words):
+    """Bytes in passages of so many words that also start anywhere else."""
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    window = lambda t, p, i: tuple(t[a:z] for a, z in p[i : i + words])
+    n = Counter(window(t, p, i) for t, p in zip(texts, places, strict=True) for i in range(len(p) - words + 1))
+    out = []
+    for t, p in zip(texts, places, strict=True):
+        hit = {x for i in range(len(p) - words + 1) if n[window(t, p, i)] > 1 for x in range(p[i][0], p[i + words - 1][1])}
+        out.append(len(hit))
+    return out
+
+
 @pytest.mark.parametrize(("length", "most"), [(50, 20_000), (50, 3), (33, 8)])
 def test_whole_operator(spark, length, most):
     texts = corpus(length + most)
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "x"), (None, texts[1], "x"), (901, None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
     keyed = suffix._keyed(docs)
-    spans = suffix.repeated_spans(keyed.select("doc", "n_bytes", "bytes"), length, most)
-    got = keyed.select("doc", "n_bytes", "bytes", "row.doc_id").join(spans, ["doc", "n_bytes"], "left").select("doc_id", "bytes", "spans").mapInArrow(suffix._digests, suffix.DIGESTS).collect()
-    want = [(k, *x) for (k, _, _), x in zip(rows, brute([(t or "").encode() for _, t, _ in rows], length), strict=True)]
+    repeats = suffix._repeats(keyed, length, most, 7)
+    got = keyed.select("doc", "n_bytes", "bytes", "row.doc_id").join(repeats, ["doc", "n_bytes"], "left").select("doc_id", "bytes", "spans", "passages").mapInArrow(suffix._digests(7), suffix.DIGESTS).collect()
+    raw = [(t or "").encode() for _, t, _ in rows]
+    want = [(k, *x, n) for (k, _, _), x, n in zip(rows, brute(raw, length), brute_passages(raw, 7), strict=True)]
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
     kept = {r["doc_id"]: r["text"] for r in suffix.remove_repeats(docs.where("doc_id is not null and doc_id > 0"), length, most).collect()}
     want = dict(zip([r[0] for r in rows if r[0]], brute([(r[1] or "").encode() for r in rows if r[0]], length), strict=True))

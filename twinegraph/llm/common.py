@@ -27,20 +27,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, with its scheme.
 
+    A path without a scheme belongs to the cluster's default store, as everywhere in Spark.
     Where the session has none (tests, local mode) a temporary one is set.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
         have = sc._jsc.sc().getCheckpointDir()
-        if have.isDefined():
-            named = have.get()
-        else:
-            named = "file://" + tempfile.mkdtemp(prefix="shared-")
-            sc.setCheckpointDir(named)
-    return named.rstrip("/") if "://" in named or named.startswith("file:") else "file://" + named.rstrip("/")
+        if not have.isDefined():
+            sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="shared-"))
+            have = sc._jsc.sc().getCheckpointDir()
+        named = have.get()
+    where = spark._jvm.org.apache.hadoop.fs.Path(named)
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
@@ -67,6 +68,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Remove the files behind frames that ``written`` gave, once nothing reads them any more, and let Spark drop the exchanges that led to them."""
+    import gc
+
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if frames:
+        gc.collect()
+        frames[0].sparkSession._jvm.System.gc()
+
+
 def give_back() -> None:
     """Return freed memory of a Python worker to the system: workers are kept between tasks, and what one step held would stay with the next."""
     import ctypes

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, table, with_text, written
+from .common import forget, give_back, table, with_text, written
 
 LENGTH = 400
 #: Rows of one group in a task: some 100 MB with their byte matrix.
@@ -338,15 +338,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most_group: int = MOST
     half = max(1, length * 8 // 25)
     reach = length - half
     long = docs.where(F.col("n_bytes") >= length)
-    found = written(long.select("doc", "bytes").mapInArrow(_anchor_rows(length, half), ANCHORS), "anchors")
+    temporary: list[DataFrame] = []
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        temporary.append(out := written(df, tag))
+        return out
+
+    found = kept(long.select("doc", "bytes").mapInArrow(_anchor_rows(length, half), ANCHORS), "anchors")
     times = F.sum(F.size("places")).alias("n")
+    # Written first, so that the join has an exchange of its own on either side and a hot window's rows can be dealt to several tasks.
     windows = found.groupBy("key").agg(times, F.min("around").alias("least"), F.max("around").alias("most")).where(F.col("n") > 1)
-    again = written(found.join(windows, "key").select(*found.columns, (F.col("least") != F.col("most")).alias("mixed")), "again")
+    windows = kept(windows.select("key", (F.col("least") != F.col("most")).alias("mixed")), "windows")
+    again = kept(found.join(windows, "key").select(*found.columns, "mixed"), "again")
+    forget(found)
     mixed = again.where("mixed")
-    kinds = written(mixed.groupBy("key", "around").agg(times, F.min(F.struct("doc", "n_bytes", F.element_at("places", 1).alias("place"))).alias("one")), "kinds")
+    kinds = kept(mixed.groupBy("key", "around").agg(times, F.min(F.struct("doc", "n_bytes", F.element_at("places", 1).alias("place"))).alias("one")), "kinds")
     wanted = kinds.select("one.doc", "one.n_bytes", F.struct("key", "around", "one.place").alias("w")).groupBy("doc", "n_bytes").agg(F.collect_list("w").alias("wanted"))
     around = long.join(wanted, ["doc", "n_bytes"]).select("bytes", "wanted").mapInArrow(_surroundings(length, half), SURROUNDINGS).dropDuplicates(["key", "around"])
-    todo = written(around.select("*", F.lit(0).cast("long").alias("lo"), F.lit(reach).cast("long").alias("hi"), F.col("key").cast("string").alias("part")), "around")
+    todo = kept(around.select("*", F.lit(0).cast("long").alias("lo"), F.lit(reach).cast("long").alias("hi"), F.col("key").cast("string").alias("part")), "around")
     results = [kinds.where("n > 1").select("key", "around", F.lit(0).cast("long").alias("lo"), F.lit(reach).cast("long").alias("hi"))]
     while True:
         sizes = todo.groupBy("part").agg(F.count("*").alias("n")).where("n > 1")
@@ -359,11 +368,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most_group: int = MOST
         mid = F.floor((F.col("lo") + F.col("hi")) / 2)
         halves = large.withColumn("h", F.explode(F.array(F.struct(F.col("lo").alias("a"), mid.alias("z")), F.struct((mid + 1).alias("a"), F.col("hi").alias("z")))))
         halves = halves.select("key", "around", "bytes", "skip", F.col("h.a").alias("lo"), F.col("h.z").alias("hi"), "part", F.lit("").alias("same"))
-        halves = written(halves.mapInArrow(_part_keys(length, half), halves.schema), "parts")
+        halves = kept(halves.mapInArrow(_part_keys(length, half), halves.schema), "parts")
         # Rows that agree on all that the half can cover are repeated throughout it, and one of them goes on.
         twice = halves.groupBy("part", "same").agg(F.count("*").alias("n")).where("n > 1")
         results.append(halves.join(twice, ["part", "same"]).select("key", "around", "lo", "hi"))
-        todo = written(halves.dropDuplicates(["part", "same"]).drop("same"), "parts")
+        todo = kept(halves.dropDuplicates(["part", "same"]).drop("same"), "parts")
     ranges = results[0]
     for r in results[1:]:
         ranges = ranges.unionByName(r)
@@ -374,7 +383,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most_group: int = MOST
     inside = F.filter("places", lambda p: lo(p) <= hi(p))
     spans = F.transform(inside, lambda p: F.struct((p - hi(p)).alias("first"), (p - lo(p) + length).alias("last")))
     hit = hit.select("doc", "n_bytes", spans.alias("spans")).where(F.size("spans") > 0)
-    return hit.groupBy("doc", "n_bytes").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    out = written(hit.groupBy("doc", "n_bytes").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    del found, windows, again, mixed, kinds, todo, results, hit, ranges
+    forget(*temporary)
+    return out
 
 
 def cut(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
@@ -400,9 +412,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(F.col("doc_id"), text).alias("doc"), F.octet_length(text).cast("long").alias("n_bytes"), text.cast("binary").alias("bytes"), F.struct("*").alias("row"))
 
 
-DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-
-
 def word_edges(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First place and end of each word, as ``WORD`` finds them."""
     blank = (text == 32) | ((text >= 9) & (text <= 13))
@@ -432,21 +441,47 @@ def word_spans(text: bytes, passages: list[dict], words: int) -> list[dict]:
     return [{"first": int(first[a]), "last": int(last[z - 1])} for a, z in inside if z - a >= words]
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for key, text, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-            kept, removed, runs = cut(x := text.as_py(), spans.as_py() or [])
-            out.append((key, len(x), removed, runs, hashlib.sha256(kept).hexdigest()))
-        yield _batch(DIGESTS, *(zip(*out, strict=True) if out else [()] * 5))
-    give_back()
+SPANS = "array<struct<first:bigint,last:bigint>>"
+
+
+def _repeats(keyed: DataFrame, length: int, most_group: int, words: int) -> DataFrame:
+    """(doc, n_bytes, spans, passages) of the texts with something to remove; passages are spans of the texts' codes."""
+    spans = repeated_spans(keyed.select("doc", "n_bytes", "bytes"), length, most_group)
+    if not words:
+        return spans.withColumn("passages", F.lit(None).cast(SPANS))
+    coded = keyed.select("doc", "bytes").mapInArrow(_codes, CODES)
+    passages = repeated_spans(coded, CODE * words, most_group).select("doc", F.col("n_bytes").alias("n_coded"), F.col("spans").alias("passages"))
+    sizes = keyed.select("doc", "n_bytes", (CODE * F.regexp_count(F.coalesce("row.text", F.lit("")), F.lit(WORD))).cast("long").alias("n_coded")).distinct()
+    return spans.join(passages.join(sizes, ["doc", "n_coded"]).drop("n_coded"), ["doc", "n_bytes"], "full")
+
+
+DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long"
+
+
+def _digests(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for key, text, spans, passages in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), strict=True):
+                kept, removed, runs = cut(x := text.as_py(), spans.as_py() or [])
+                out.append((key, len(x), removed, runs, hashlib.sha256(kept).hexdigest(), cut(x, word_spans(x, passages.as_py() or [], words))[1]))
+            yield _batch(DIGESTS, *(zip(*out, strict=True) if out else [()] * 6))
+        give_back()
+
+    return run
+
+
+#: Words of the least passage that counts in ``n_passage_bytes``.
+PASSAGE = 51
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns, for strings of ``LENGTH`` bytes, and n_passage_bytes: bytes in passages of ``PASSAGE`` words or more that also stand
+    anywhere else, which may be shorter than that; they are counted, not removed."""
     keyed = _keyed(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    spans = repeated_spans(keyed.select("doc", "n_bytes", "bytes"))
-    joined = keyed.select("doc", "n_bytes", "bytes", F.col("row.doc_id").cast("long").alias("doc_id")).join(spans, ["doc", "n_bytes"], "left")
-    return joined.select("doc_id", "bytes", "spans").mapInArrow(_digests, DIGESTS)
+    repeats = _repeats(keyed, LENGTH, MOST_GROUP, PASSAGE)
+    joined = keyed.select("doc", "n_bytes", "bytes", F.col("row.doc_id").cast("long").alias("doc_id")).join(repeats, ["doc", "n_bytes"], "left")
+    return joined.select("doc_id", "bytes", "spans", "passages").mapInArrow(_digests(PASSAGE), DIGESTS)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, most_group: int = MOST_GROUP, words: int = 0) -> DataFrame:
@@ -455,22 +490,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most_group: int = MOST
     With ``words``, every passage of so many words that also stands anywhere else goes too; both are judged on the input.
     """
     keyed = _keyed(docs)
-    spans = repeated_spans(keyed.select("doc", "n_bytes", "bytes"), length, most_group)
-    kind = "array<struct<first:bigint,last:bigint>>"
-    if words:
-        coded = keyed.select("doc", "bytes").mapInArrow(_codes, CODES)
-        passages = repeated_spans(coded, CODE * words, most_group).select("doc", F.col("n_bytes").alias("n_coded"), F.col("spans").alias("passages"))
-        sizes = keyed.select("doc", "n_bytes", (CODE * F.regexp_count(F.coalesce("row.text", F.lit("")), F.lit(WORD))).cast("long").alias("n_coded")).distinct()
-        spans = spans.join(passages.join(sizes, ["doc", "n_coded"]).drop("n_coded"), ["doc", "n_bytes"], "full")
-    else:
-        spans = spans.withColumn("passages", F.lit(None).cast(kind))
-    joined = keyed.join(spans, ["doc", "n_bytes"], "left").select(F.col("row").alias("doc"), "bytes", "spans", "passages")
+    joined = keyed.join(_repeats(keyed, length, most_group, words), ["doc", "n_bytes"], "left").select(F.col("row").alias("doc"), "bytes", "spans", "passages")
 
     @F.pandas_udf("string")
     def left(bytes_: pd.Series, spans_: pd.Series, passages_: pd.Series) -> pd.Series:
         cuts = ((x, [*s, *word_spans(x, list(p), words)]) for x, s, p in zip(bytes_, spans_, passages_, strict=True))
         return pd.Series([cut(x, s)[0].decode("utf-8", "ignore") for x, s in cuts], dtype=object)
 
-    none = F.array().cast(kind)
+    none = F.array().cast(SPANS)
     joined = joined.withColumn("shorter", F.when(F.col("spans").isNotNull() | F.col("passages").isNotNull(), left("bytes", F.coalesce("spans", none), F.coalesce("passages", none))))
     return joined.select(*with_text(docs.columns, F.coalesce("shorter", "doc.text")))
