@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from twinegraph.llm import byteconv, chat, idstore, linerules, packing, secretscan, vptree
 
@@ -58,6 +59,53 @@ def test_nearest(spark, factor, shard, recall):
     assert len(few) == 4
 
 
+def exact(good, queries, k=20):
+    return {q: sorted((-float((np.asarray(good[q]) * np.asarray(v)).sum()), i) for i, v in good.items() if i != q)[:k] for q in queries}
+
+
+def ranked(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    return {q: [i for _, i in sorted(x)] for q, x in out.items()}
+
+
+@pytest.mark.parametrize("shard", [50, 8192])
+def test_ties_go_to_the_least_ids(spark, shard):
+    r = np.random.default_rng(9)
+    good = {0: [1.0] + [0.0] * 7}
+    for i in range(1, 201):  # different vectors, all with product 1
+        good[i] = [1.0, *map(float, r.integers(-4, 5, 6)), float(i)]
+    for i in range(300, 500):
+        good[i] = [0.5, *map(float, r.integers(-4, 5, 7))]
+    table = spark.createDataFrame(list(good.items()), "vec_id long, embedding array<double>")
+    got = ranked(vptree.nearest(table, table.where("vec_id = 0"), 20, 1.0, shard))
+    assert got == {0: list(range(1, 21))}
+
+
+@pytest.mark.parametrize("scale", [1e3, 1e8, 1e30])
+def test_a_long_vector_hides_no_neighbour(spark, scale):
+    r = np.random.default_rng(10)
+    x = r.standard_normal((1200, 8))
+    x[17] *= scale
+    x[18] /= scale
+    good = {i: v.tolist() for i, v in enumerate(x)}
+    table = spark.createDataFrame(list(good.items()), "vec_id long, embedding array<double>")
+    got = ranked(vptree.nearest(table, table.where("vec_id % 20 = 0"), 20, 1.0, 100))
+    assert got == {q: [i for _, i in x] for q, x in exact(good, range(0, 1200, 20)).items()}
+
+
+def test_recall_at_the_query_s_factor(spark):
+    """What op1_vptree_search gives on its table against brute force."""
+    table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    good = {r["vec_id"]: np.asarray(r["embedding"], np.float64) for r in table.collect()}
+    got = ranked(vptree.op1_vptree_search(spark, "/root/testdata/sf0.001"))
+    want = exact(good, [i for i in good if i % 20 == 0])
+    assert set(got) == set(want)
+    hits = sum(len(set(got[q]) & {i for _, i in w}) for q, w in want.items())
+    assert hits >= 0.9 * sum(map(len, want.values()))
+
+
 # --- 2
 
 
@@ -183,6 +231,14 @@ def test_line_rules(spark):
         assert g["removed_words"] == held
         assert g["kept"] == (not g["base_failed"] and n - held >= 0.5 * n)
     assert linerules.apply_rules(docs.limit(0)).collect() == []
+    left = {x["doc_id"]: x for x in linerules.without_frequent_lines(docs, 20, 0.02).collect()}
+    for i, t in enumerate(texts):
+        want = t if t is None else "\n".join(x for x in t.split("\n") if x.lower() != banner)
+        assert left[i]["text"] == want and left[i]["n_chars"] == len(want or "")
+    assert linerules.without_frequent_lines(docs, 20, 0.02).columns == docs.columns
+    # copies under other ids are documents: their lines become frequent
+    copies = documents(spark, ["same line of words\nalone"] * 30 + ["another\ntext"] * 20)
+    assert linerules.frequent_lines(copies).count() == 2
 
 
 # --- 6
@@ -267,6 +323,19 @@ def test_chat_round_trip(spark):
         assert g["formatted_chars"] == len(f)
         assert "".join(undo(f[s["start"] : s["end"]]) for s in spans[c]["loss_spans"]) == learned
     assert chat.digests(chat.format_conversations(table.limit(0))).collect() == []
+    # the loss columns come from the mask: another mask gives other ones
+    off = formatted.withColumn("loss_spans", F.expr("transform(loss_spans, s -> named_struct('start', s.start, 'end', s.end - 1))")).where("exists(loss_spans, s -> s.end > s.start)")
+    changed = {x["conv_id"]: x["loss_sha256"] for x in chat.digests(off).collect()}
+    assert changed and all(changed[c] != got[c]["loss_sha256"] for c in changed)
+
+
+def test_a_long_conversation(spark):
+    texts = [f"é{i} " * (1 + i % 7) for i in range(3000)]
+    table = spark.createDataFrame([(1, i, "assistant" if i % 3 else "user", t) for i, t in enumerate(texts)] + [(2, 0, "assistant", "y" * 3_000_000)], "conv_id long, turn long, role string, text string")
+    got = {x["conv_id"]: x for x in chat.digests(chat.format_conversations(table)).collect()}
+    learned = "".join(t for i, t in enumerate(texts) if i % 3)
+    assert (got[1]["n_turns"], got[1]["loss_chars"], got[1]["loss_sha256"]) == (3000, len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    assert got[2]["loss_chars"] == 3_000_000
 
 
 # --- 10

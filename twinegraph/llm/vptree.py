@@ -1,26 +1,30 @@
 """Operator 1: nearest neighbours by inner product, a vantage-point tree per shard.
 
-Inner products become distances by one more coordinate: with M the greatest
-length of a vector, x' = (x, sqrt(M^2 - |x|^2)) and q' = (q, 0) have
+Inner products become distances by one more coordinate: with M at least the
+length of every vector of a shard, x' = (x, sqrt(M^2 - |x|^2)) and q' = (q, 0) have
 |x' - q'|^2 = M^2 + |q|^2 - 2 q.x, so the largest product is the least distance
-and the triangle inequality holds. Scores are computed anew on the original vectors in double precision.
+and the triangle inequality holds. Distances only decide what is skipped; what is kept and
+ranked are inner products of the original vectors in double precision. Vectors are dealt to bands of
+lengths (powers of two) before anything else, so M is of the order of its own vectors, however long others are.
 
 Build: equal vectors form one entry that holds all their ids in order (a query
-never needs more than its first k + 1, so only those are kept). Entries go to the nearest of a few
+never needs more than its first k + 1, so only those are kept). A band's entries go to the nearest of a few
 pivots drawn from a bounded sample (``SAMPLE`` rows); a pivot's entries are split further by hash
 into shards of about ``SHARD`` entries. Every row is indexed. Each shard is a tree of
 vantage points: an entry, the median distance to it, the nearer half, the farther half; leaves hold up to ``LEAF`` entries.
 
-Search: a first pass sends each query to one shard of its nearest pivot and
-learns the distance of its k-th neighbour there. A second pass sends it to every other shard that its
+Search: a first pass sends each query to the shard of the pivot with the largest product and
+learns the (k + 1)-th best product there. A second pass sends it to every other shard that its
 pivot distance does not rule out. In a tree, a half is skipped when
-``factor`` * (distance to the vantage point past the median) exceeds the k-th distance so far;
+``factor`` * (distance to the vantage point past the median) exceeds the distance that the (k + 1)-th product so far stands for;
 the same factor scales the bound of whole shards. Factor 1 restores exact search, greater factors skip more.
-All queries that reach a node are worked on together.
+All queries that reach a node are worked on together, and all entries that tie with the last place, within
+rounding, are kept until the exact products and then the least ids rank them.
 
 Vectors that are null, empty, zero or hold null or non-finite components take
 no part; nor do vectors of another length than the most common one. Rows that
 repeat an id with its vector count once; a query never finds its own id. An empty table gives no rows.
+Components may be as large as 1e150.
 """
 
 from __future__ import annotations
@@ -37,27 +41,33 @@ from .common import table, written
 LEAF = 64
 SHARD = 8192
 SAMPLE = 4096
-MOST_PIVOTS = 1024
+MOST_PIVOTS = 1000
 FACTOR = 1.1
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 512
+#: What rounding may do to a product or a distance, as a share of the lengths involved.
+ROUNDING = 1e-12
+ROUNDING_OF_DISTANCE = 1e-7
+
+
+def apart(lengths: np.ndarray, q: np.ndarray, products: np.ndarray) -> np.ndarray:
+    """Distances of queries of length q from lifted points of length ``lengths`` by their inner products."""
+    return np.sqrt(np.maximum(lengths**2 + q**2 - 2 * products, 0))
 
 
 class Tree:
-    """A vantage-point tree over the rows of ``points``, kept as arrays of nodes."""
+    """A vantage-point tree over the rows of ``points``, lifted to the length of the longest, kept as arrays of nodes."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF, seed: int = 3):
         self.points = points
-        self.norms = (points**2).sum(axis=1)
+        norms = (points**2).sum(axis=1)
+        self.longest = float(np.sqrt(norms.max())) * (1 + 1e-12) if norms.size else 0.0
+        self.lift = np.sqrt(np.maximum(self.longest**2 - norms, 0))
         self.order = np.arange(points.shape[0])
         self.nodes: list[tuple] = []  # (lo, hi, vantage or -1, median, near, far)
         self.leaf, self.r = leaf, np.random.default_rng(seed)
         if points.shape[0]:
             self._build(0, points.shape[0])
 
-    def _distance(self, q: np.ndarray, qn: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        d = qn[:, None] + self.norms[rows][None, :] - 2 * (q @ self.points[rows].T)
-        return np.sqrt(np.maximum(d, 0))
-
     def _build(self, lo: int, hi: int) -> int:
         me = len(self.nodes)
         self.nodes.append((lo, hi, -1, 0.0, -1, -1))
@@ -65,7 +75,7 @@ class Tree:
             return me
         own = self.order[lo:hi]
         v = own[self.r.integers(own.size)]
-        d = self._distance(self.points[v : v + 1], self.norms[v : v + 1], own)[0]
+        d = np.sqrt(((self.points[own] - self.points[v]) ** 2).sum(axis=1) + (self.lift[own] - self.lift[v]) ** 2)
         half = own.size // 2
         split = np.argpartition(d, half)
         self.order[lo:hi] = own[split]
@@ -75,30 +85,35 @@ class Tree:
         self.nodes[me] = (lo, hi, int(v), median, near, far)
         return me
 
-    def search(self, queries: np.ndarray, k: int, bound: np.ndarray, factor: float) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the k nearest rows within ``bound`` and their distances, ties kept in row order."""
+    def search(self, queries: np.ndarray, k: int, floor: np.ndarray, factor: float) -> list[tuple[np.ndarray, float]]:
+        """For each query the rows whose product may be among the k largest and no less than ``floor``, all that tie included, and the k-th product (-inf if fewer)."""
+        out: list[tuple[np.ndarray, float]] = []
+        for lo in range(0, queries.shape[0], QUERY_BLOCK):
+            out += self._block(queries[lo : lo + QUERY_BLOCK], k, floor[lo : lo + QUERY_BLOCK], factor)
+        return out
+
+    def _block(self, queries: np.ndarray, k: int, floor: np.ndarray, factor: float) -> list[tuple[np.ndarray, float]]:
         n = queries.shape[0]
-        qn = (queries**2).sum(axis=1)
-        best = np.full((n, k), np.inf)
-        rows = np.full((n, k), -1, np.int64)
-        limit = bound.astype(np.float64).copy()
         if not self.nodes:
-            return [(np.zeros(0, np.int64), np.zeros(0)) for _ in range(n)]
+            return [(np.zeros(0, np.int64), -np.inf)] * n
+        length = np.sqrt((queries**2).sum(axis=1))
+        blur = ROUNDING * length * self.longest
+        best = np.full((n, k), -np.inf)
+        least = floor.astype(np.float64)
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def visit(node: int, who: np.ndarray) -> None:
             lo, hi, v, median, near, far = self.nodes[node]
             if v < 0:
-                own = np.sort(self.order[lo:hi])
-                d = self._distance(queries[who], qn[who], own)
-                all_d = np.concatenate([best[who], d], axis=1)
-                all_r = np.concatenate([rows[who], np.broadcast_to(own, d.shape)], axis=1)
-                if all_d.shape[1] > k:
-                    pick = np.argsort(all_d, axis=1, kind="stable")[:, :k]
-                    all_d, all_r = np.take_along_axis(all_d, pick, 1), np.take_along_axis(all_r, pick, 1)
-                best[who], rows[who] = all_d, all_r
-                limit[who] = np.minimum(limit[who], all_d[:, -1])
+                own = self.order[lo:hi]
+                products = queries[who] @ self.points[own].T
+                q, x = np.nonzero(products >= (least[who] - blur[who])[:, None])
+                kept.append((who[q], own[x], products[q, x]))
+                both = np.concatenate([best[who], products], axis=1)
+                best[who] = -np.partition(-both, k - 1, axis=1)[:, :k]
+                least[who] = np.maximum(least[who], best[who].min(axis=1))
                 return
-            d = self._distance(queries[who], qn[who], np.asarray([v]))[:, 0]
+            d = apart(self.longest, length[who], queries[who] @ self.points[v])
             inner = d < median
             for first, mine in ((near, inner), (far, ~inner)):
                 own = who[mine]
@@ -107,27 +122,23 @@ class Tree:
             for second, mine in ((far, inner), (near, ~inner)):
                 own = who[mine]
                 if own.size:
-                    gap = np.abs(d[mine] - median)
-                    own = own[factor * gap <= limit[own] * (1 + 1e-9) + 1e-6]
+                    reach = apart(self.longest, length[own], least[own])
+                    own = own[~beyond(factor * np.abs(d[mine] - median), reach, self.longest + length[own])]
                     if own.size:
                         visit(second, own)
 
-        for lo in range(0, n, QUERY_BLOCK):
-            visit(0, np.arange(lo, min(n, lo + QUERY_BLOCK)))
-        found = rows >= 0
-        return [(rows[i][found[i]], best[i][found[i]]) for i in range(n)]
-
+        visit(0, np.arange(n))
+        who, rows, products = (np.concatenate(x) for x in zip(*kept, strict=True))
+        on = products >= (least - blur)[who]
+        who, rows = who[on], rows[on]
+        by = np.argsort(who, kind="stable")
+        parts = np.split(rows[by], np.searchsorted(who[by], np.arange(1, n)))
+        return [(p, float(b)) for p, b in zip(parts, best.min(axis=1), strict=True)]
 
-def lifted(x: np.ndarray, longest: float) -> np.ndarray:
-    return np.concatenate([x, np.sqrt(np.maximum(longest**2 - (x**2).sum(axis=1), 0))[:, None]], axis=1)
 
-
-def as_query(x: np.ndarray) -> np.ndarray:
-    return np.concatenate([x, np.zeros((x.shape[0], 1))], axis=1)
-
-
-def pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None, :] - 2 * x @ pivots.T, 0))
+def beyond(gap: np.ndarray, reach: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a gap is over the reach by more than rounding can be."""
+    return gap > reach * (1 + 1e-9) + ROUNDING_OF_DISTANCE * size
 
 
 def _matrix(column) -> np.ndarray:
@@ -145,10 +156,10 @@ def clean(vectors: DataFrame) -> DataFrame:
     return fine.where(F.size("v") == (top[0]["n"] if top else 0))
 
 
-FOUND = "query_id long, vec_id long, score double, reach double"
+FOUND = "query_id long, vec_id long, score double, floor double"
 
 
-def _search(longest: float, k: int, factor: float, first: bool):
+def _search(k: int, factor: float, first: bool):
     """Rows sorted by shard and kind. A shard's entries (kind 0) make its tree; its queries (kind 1) stream through it in blocks."""
 
     def answer(tree: Tree, entries: list[tuple], own: np.ndarray, asked: list[tuple], out: list[tuple]) -> None:
@@ -157,13 +168,11 @@ def _search(longest: float, k: int, factor: float, first: bool):
                 out.extend((a[1], None, None, None) for a in asked)
             return
         q = np.asarray([a[2] for a in asked])
-        bound = np.asarray([np.inf if a[4] is None else a[4] for a in asked])
-        for a, qv, (at, dist) in zip(asked, q, tree.search(as_query(q), k + 1, bound, factor), strict=True):
-            reach = float(dist[-1]) if dist.size == k + 1 else None
-            if a[4] is not None:  # what the first pass found is at least as near
-                at = at[dist <= a[4] * (1 + 1e-9) + 1e-6]
+        floor = np.asarray([-np.inf if a[4] is None else a[4] for a in asked])
+        for a, qv, (at, last) in zip(asked, q, tree.search(q, k + 1, floor, factor), strict=True):
             scores = (own[at] * qv).sum(axis=1)
             found = sorted((-s, i) for s, e in zip(scores.tolist(), at.tolist(), strict=True) for i in entries[e][3] if i != a[1])[:k]
+            reach = last if np.isfinite(last) else None
             if first and not found:
                 out.append((a[1], None, None, reach))
             out.extend((a[1], i, -s, reach) for s, i in found)
@@ -175,14 +184,14 @@ def _search(longest: float, k: int, factor: float, first: bool):
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) or [()] * 4
-            b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score", "reach"])
+            b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score", "floor"])
             out.clear()
             return b
 
         for b in batches:
             c = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             m = _matrix(c["v"])
-            for s, kind, i, ids, bound, x in zip(*(c[n].to_pylist() for n in ("shard", "kind", "vec_id", "ids", "bound")), m, strict=True):
+            for s, kind, i, ids, floor, x in zip(*(c[n].to_pylist() for n in ("shard", "kind", "vec_id", "ids", "floor")), m, strict=True):
                 if asked and (s != shard or len(asked) >= QUERY_BLOCK):
                     answer(tree, entries, own, asked, out)
                     asked = []
@@ -190,12 +199,12 @@ def _search(longest: float, k: int, factor: float, first: bool):
                 if s != shard:
                     shard, tree, entries = s, None, []
                 if kind == 0:
-                    entries.append((kind, i, x, ids, bound))
+                    entries.append((kind, i, x, ids, floor))
                     continue
                 if tree is None:  # a shard's entries come before its queries
                     own = np.asarray([e[2] for e in entries]).reshape(len(entries), -1)
-                    tree = Tree(lifted(own, longest))
-                asked.append((kind, i, x, ids, bound))
+                    tree = Tree(own)
+                asked.append((kind, i, x, ids, floor))
         if asked:
             answer(tree, entries, own, asked, out)
         yield flush()
@@ -210,56 +219,83 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     order = Window.partitionBy("v").orderBy("vec_id")
     ids = rows.distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1)
     entries = written(ids.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    total = entries.agg(F.count("*").alias("n"), F.max(norm).alias("longest")).collect()[0]
-    n, longest = total["n"], (total["longest"] or 1.0) * (1 + 1e-12)
-    sample = [r["v"] for r in entries.orderBy(F.xxhash64("v")).select("v").limit(min(SAMPLE, MOST_PIVOTS, max(1, n // shard))).collect()]
-    pivots = lifted(np.asarray(sample, np.float64), longest) if sample else np.zeros((0, 1))
+    # A band holds vectors of lengths between two powers of two; there are at most some 1,000 of them.
+    band = F.floor(F.log2(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).cast("long")
+    entries = entries.withColumn("band", band)
+    counts = {r["band"]: r["n"] for r in entries.groupBy("band").agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    share = {x: max(1, min(SAMPLE, MOST_PIVOTS * n // max(total, 1), n // shard)) for x, n in counts.items()}
+    nth = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("v"), "v"))
+    sample = entries.select("band", "v", nth.alias("nth")).where(F.col("nth") <= max([1, *share.values()])).collect()
+    sample = sorted((r["band"], r["nth"], r["v"]) for r in sample if r["nth"] <= share[r["band"]])
+    bands = np.asarray([x[0] for x in sample], np.int64)
+    pivots = np.asarray([x[2] for x in sample], np.float64) if sample else np.zeros((0, 1))
+    longest = 2.0 ** (bands + 1.0) * (1 + 1e-9)
+    up = lambda x, m: np.sqrt(np.maximum(m**2 - (x**2).sum(axis=1), 0))
+    lift = up(pivots, longest)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = pivot_distances(lifted(_matrix(b.column(0)), longest), pivots)
-            near = d.argmin(axis=1) if len(d) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.int64()), pa.array(d[np.arange(len(d)), near] if len(d) else np.zeros(0), pa.float64())], ["v", "ids", "pivot", "far"])
-
-    placed = entries.mapInArrow(place, "v array<double>, ids array<long>, pivot long, far double")
+            x, own = _matrix(b.column(0)), b.column(2).to_numpy()
+            pivot, far = np.zeros(len(b), np.int64), np.zeros(len(b))
+            for one in np.unique(own):
+                rows, mine = np.flatnonzero(own == one), np.flatnonzero(bands == one)
+                flat = ((x[rows] ** 2).sum(axis=1)[:, None] + (pivots[mine] ** 2).sum(axis=1)[None, :] - 2 * x[rows] @ pivots[mine].T)
+                d = np.sqrt(np.maximum(flat, 0) + (up(x[rows], longest[mine[0]])[:, None] - lift[mine][None, :]) ** 2)
+                near = d.argmin(axis=1)
+                pivot[rows], far[rows] = mine[near], d[np.arange(rows.size), near]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pivot), pa.array(far)], ["v", "ids", "pivot", "far"])
+
+    placed = entries.select("v", "ids", "band").mapInArrow(place, "v array<double>, ids array<long>, pivot long, far double")
     sizes = placed.groupBy("pivot").agg(F.ceil(F.count("*") / shard).alias("parts"))
-    placed = written(placed.join(F.broadcast(sizes), "pivot").withColumn("part", F.pmod(F.xxhash64("v", F.lit(1)), "parts")), "placed")  # one row per pivot, at most MOST_PIVOTS
-    # What a shard spans: distances from its pivot, nearest to farthest.
-    spans = [tuple(r) for r in placed.groupBy("pivot").agg(F.max("parts"), F.min("far"), F.max("far")).collect()]  # at most MOST_PIVOTS rows
+    placed = written(placed.join(F.broadcast(sizes), "pivot").withColumn("part", F.pmod(F.xxhash64("v", F.lit(1)), "parts")), "placed")  # one row per pivot: MOST_PIVOTS and one per band
+    # What a pivot's entries span: distances from it, nearest to farthest.
+    spans = sorted(tuple(r) for r in placed.groupBy("pivot").agg(F.max("parts"), F.min("far"), F.max("far")).collect())
+    at = np.asarray([x[0] for x in spans], np.int64)
+    parts, low, high = (np.asarray([x[i] for x in spans], t) for i, t in ((1, np.int64), (2, np.float64), (3, np.float64)))
 
     asked = clean(queries).dropDuplicates(["vec_id"])
 
     def route(home: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out: list[tuple] = []
-                d = pivot_distances(as_query(_matrix(b.column(1))), pivots) if len(b) else np.zeros((0, len(pivots)))
-                bound = b.column(2).to_pylist()
-                for i in range(len(b)):
-                    first = min(spans, key=lambda s: d[i, s[0]])[0] if spans else None
-                    for pivot, parts, low, high in spans:
-                        near = max(0.0, low - d[i, pivot], d[i, pivot] - high)
-                        skip = bound[i] is not None and factor * near > bound[i] * (1 + 1e-9) + 1e-6
-                        for part in range(parts):
-                            if home == (pivot == first and part == 0) and not (skip and not home):
-                                out.append((i, pivot * 1_000_000 + part))
-                at = pa.array([o[0] for o in out], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([o[1] for o in out], pa.int64()), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at)], ["shard", "vec_id", "v", "bound"])
+                if not len(b) or not at.size:
+                    continue
+                q = _matrix(b.column(1))
+                length = np.sqrt((q**2).sum(axis=1))[:, None]
+                products = q @ pivots[at].T
+                first = products.argmax(axis=1)
+                if home:
+                    who, shards = np.arange(len(b)), at[first] * 1_000_000
+                else:
+                    floor = b.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+                    floor = np.where(np.isnan(floor), -np.inf, floor)[:, None]
+                    size = longest[at][None, :]
+                    d = apart(size, length, products)
+                    gap = np.maximum(0, np.maximum(low - d, d - high))
+                    # no product is larger than the two lengths give
+                    open_ = ~beyond(factor * gap, apart(size, length, floor), size + length) & (size * length * (1 + 1e-9) >= floor)
+                    who, pivot = np.nonzero(open_)
+                    part = np.arange(int(parts[pivot].sum())) - np.repeat(np.cumsum(parts[pivot]) - parts[pivot], parts[pivot])
+                    who, pivot = np.repeat(who, parts[pivot]), np.repeat(pivot, parts[pivot])
+                    other = (pivot != first[who]) | (part > 0)
+                    who, shards = who[other], at[pivot[other]] * 1_000_000 + part[other]
+                rows = pa.array(who)
+                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), b.column(0).take(rows), b.column(1).take(rows), b.column(2).take(rows)], ["shard", "vec_id", "v", "floor"])
 
         return run
 
-    side = placed.select((F.col("pivot") * 1_000_000 + F.col("part")).alias("shard"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("vec_id"), "v", "ids", F.lit(None).cast("double").alias("bound"))
-    routed = "shard long, vec_id long, v array<double>, bound double"
+    side = placed.select((F.col("pivot") * 1_000_000 + F.col("part")).alias("shard"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("vec_id"), "v", "ids", F.lit(None).cast("double").alias("floor"))
+    routed = "shard long, vec_id long, v array<double>, floor double"
 
     def pass_over(q: DataFrame, home: bool) -> DataFrame:
-        q = q.mapInArrow(route(home), routed).select("shard", F.lit(1).alias("kind"), "vec_id", "v", F.lit(None).cast("array<long>").alias("ids"), "bound")
+        q = q.mapInArrow(route(home), routed).select("shard", F.lit(1).alias("kind"), "vec_id", "v", F.lit(None).cast("array<long>").alias("ids"), "floor")
         both = side.unionByName(q).repartition("shard").sortWithinPartitions("shard", "kind", "vec_id", F.xxhash64("v"))
-        return written(both.mapInArrow(_search(longest, k, factor, home), FOUND), "found")
+        return written(both.mapInArrow(_search(k, factor, home), FOUND), "found")
 
-    first = pass_over(asked.select("vec_id", "v", F.lit(None).cast("double").alias("bound")), True)
-    reach = first.groupBy("query_id").agg(F.max("reach").alias("bound")).withColumnRenamed("query_id", "vec_id")
-    rest = pass_over(asked.join(reach, "vec_id", "left").select("vec_id", "v", "bound"), False)
+    first = pass_over(asked.select("vec_id", "v", F.lit(None).cast("double").alias("floor")), True)
+    floors = first.groupBy("query_id").agg(F.max("floor").alias("floor")).withColumnRenamed("query_id", "vec_id")
+    rest = pass_over(asked.join(floors, "vec_id", "left").select("vec_id", "v", "floor"), False)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     both = first.unionByName(rest).where("vec_id is not null").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return both.select("query_id", "rank", "vec_id", "score")
