@@ -10,11 +10,11 @@ roles, a line end becomes ``\\n``. No control string can then come from a text,
 and undoing the four replacements in reverse order gives the text back exactly.
 The loss mask covers the texts of assistant blocks, without their markers.
 
-Turns are ordered by (turn, role, text), nulls first. A window over the same key
-marks where a run of one role starts and where each text begins and ends, so that
-one exchange by conversation serves both the window and the collection, and the
-work on a conversation is linear in its length. A conversation's output
-is one value, so it must fit one row (2 GB).
+Turns are collected per conversation and sorted by (turn, role, text), nulls first; adjacent turns of one
+role are merged by array functions, and the blocks are concatenated. Offsets are running sums over an array,
+made in chunks so that the work on a conversation stays about linear in its length. The query's loss columns are
+cut out of the formatted text by the mask, over a copy of four bytes per character in which a place is found at once.
+A conversation's output is one value, so it must fit one row (500 million characters).
 
 Defined results: a null text or role is empty; rows with a null conv_id form
 one conversation; equal rows are all kept; an empty table gives no rows;
@@ -23,10 +23,10 @@ other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import let, table
 
 START, END = "### ", "</turn>"
 #: Fixed values of the template: what stands for each escaped character.
@@ -46,56 +46,95 @@ def unescape(c: Column, line: bool = False) -> Column:
     return c
 
 
+#: Numbers that a running sum copies at a time.
+CHUNK = 256
+
+
+def running_sum(x: Column) -> Column:
+    """The sums of an array's first 1, 2, ... numbers; arrays are immutable, so an append copies, and appends stay within a chunk."""
+    last = lambda a: F.element_at(a, -1)
+    add = lambda a, v: F.array_append(a, last(a) + v)
+    zero = F.lit(0).cast("long")
+
+    def over(chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda a, v: a + v))
+        before = F.aggregate(sums, F.array(zero), add)
+        return let(before, lambda b: F.flatten(F.transform(chunks, lambda c, k: F.slice(F.aggregate(c, F.array(F.get(b, k)), add), 2, CHUNK))))
+
+    n = F.ceil(F.size(x) / CHUNK).cast("int")
+    return let(F.transform(F.sequence(F.lit(1), n), lambda k: F.slice(x, (k - 1) * CHUNK + 1, F.lit(CHUNK))), over)
+
+
+def _merged(t: Column) -> Column:
+    """One struct (head, safe, tail, learned) per turn: the first turn of a role's run opens the block, the last one closes it."""
+    role = lambda i: F.element_at(t, i)["role"]
+    opens = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (role(i) != role(F.greatest(i - 1, F.lit(1)))))
+
+    def blocks(starts: Column) -> Column:
+        end = lambda j: F.coalesce(F.get(starts, j + 1), F.size(t) + 1)
+        return F.transform(starts, lambda s, j: F.struct(role(s).alias("role"), F.slice(t, s, end(j) - s).alias("turns")))
+
+    def pieces(b: Column) -> Column:
+        n = F.size(b["turns"])
+        return F.transform(b["turns"], lambda x, i: F.struct(
+            F.when(i == 0, F.concat(F.lit(START), escape(b["role"], line=True), F.lit("\n"))).otherwise("").alias("head"),
+            escape(x["text"]).alias("safe"),
+            F.when(i + 1 == n, END + "\n").otherwise(END).alias("tail"),
+            (b["role"] == LEARNED_ROLE).alias("learned")))
+
+    return F.flatten(F.transform(let(opens, blocks), pieces))
+
+
+def _shown(p: Column) -> Column:
+    """struct(formatted, loss_spans) of a conversation's pieces."""
+    whole = F.transform(p, lambda x: F.concat(x["head"], x["safe"], x["tail"]))
+    spans = lambda ends: F.transform(p, lambda x, i: F.struct((F.get(ends, i) - F.length(x["tail"]) - F.length(x["safe"])).alias("start"), (F.get(ends, i) - F.length(x["tail"])).alias("end"), x["learned"].alias("learned")))
+    mask = lambda ends: F.transform(F.filter(spans(ends), lambda s: s["learned"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return let(whole, lambda w: F.struct(F.array_join(w, "").alias("formatted"), let(running_sum(F.transform(w, lambda x: F.length(x).cast("long"))), mask).alias("loss_spans")))
+
+
 def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans (start and end of each assistant text in ``formatted``, code points)."""
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
-        F.col("turn").cast("long").alias("turn"),
-        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    before = F.lag("role").over(order)
-    after = F.lead("role").over(order)
-    rows = rows.withColumn("nth", F.row_number().over(order)).withColumn("opens", before.isNull() | (before != F.col("role"))).withColumn("closes", after.isNull() | (after != F.col("role")))
-    rows = rows.withColumn("safe", escape(F.col("text")))
-    head = F.when(F.col("opens"), F.concat(F.lit(START), escape(F.col("role"), line=True), F.lit("\n"))).otherwise("")
-    rows = rows.withColumn("head", head).withColumn("tail", F.when(F.col("closes"), END + "\n").otherwise(END))
-    shown = F.concat("head", "safe", "tail")
-    end = F.sum(F.length(shown)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("tail")
-    rows = rows.withColumn("end", end.cast("long")).select(
-        "conv_id",
-        F.struct("nth", shown.alias("shown"), (F.col("end") - F.length("safe")).alias("start"), "end", (F.col("role") == LEARNED_ROLE).alias("learned")).alias("part"),
-    )
-    parts = F.sort_array("parts")
-    return rows.groupBy("conv_id").agg(F.collect_list("part").alias("parts")).select(
-        "conv_id",
-        F.array_join(F.transform(parts, lambda p: p["shown"]), "").alias("formatted"),
-        F.transform(F.filter(parts, lambda p: p["learned"]), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"))).alias("loss_spans"),
+        F.struct(
+            F.col("turn").cast("long").alias("turn"),
+            F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
+            F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"),
     )
+    collected = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    # a generator, so that both columns come from one evaluation
+    return collected.select("conv_id", F.inline(F.array(let(F.col("t"), lambda t: let(_merged(t), _shown)))))
 
 
 def read_turns(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns: the (role, text) pairs that ``formatted`` holds, in order, unescaped."""
+    """conv_id, turns: the (role, text) pairs that ``formatted`` holds, in order, unescaped; formatted and loss_spans pass through."""
     blocks = F.filter(F.split("formatted", START), lambda b: b != "")
     line = lambda b: F.instr(b, "\n")
     texts = lambda b: F.split(b.substr(line(b) + 1, F.length(b)), END)
-    pairs = F.flatten(F.transform(blocks, lambda b: F.transform(
-        F.slice(texts(b), 1, F.size(texts(b)) - 1),
+    pairs = F.flatten(F.transform(blocks, lambda b: let(texts(b), lambda parts: F.transform(
+        F.slice(parts, 1, F.size(parts) - 1),
         lambda t: F.struct(unescape(b.substr(F.lit(1), line(b) - 1), line=True).alias("role"), unescape(t).alias("text")),
-    )))
-    return formatted.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), pairs.alias("turns"))
+    ))))
+    return formatted.select("conv_id", "formatted", "loss_spans", F.length("formatted").cast("long").alias("formatted_chars"), pairs.alias("turns"))
+
+
+def learned_text(formatted: Column, spans: Column) -> Column:
+    """All that the mask covers, unescaped. A character takes four bytes in the copy that is cut, so no span is counted for from the start."""
+    part = lambda x, s: F.decode(x.substr((s["start"] * 4 + 1).cast("int"), ((s["end"] - s["start"]) * 4).cast("int")), "UTF-32")
+    return let(F.encode(formatted, "UTF-32"), lambda x: F.array_join(F.transform(spans, lambda s: unescape(part(x, s))), ""))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
+    """The query's columns: turns read from the formatted text, the loss from what the mask covers of it."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LEARNED_ROLE), lambda t: t["text"]), "")
-    return read_turns(formatted).select(
+    rows = read_turns(formatted).select("conv_id", "formatted_chars", "turns", F.explode(F.array(learned_text(F.col("formatted"), F.col("loss_spans")))).alias("learned"))
+    return rows.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
-        F.length(learned).cast("long").alias("loss_chars"),
-        F.sha2(learned.cast("binary"), 256).alias("loss_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
     )
 
