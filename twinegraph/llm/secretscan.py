@@ -12,14 +12,15 @@ the symbols are random:
 * runs above and below the middle of the alphabet;
 * serial correlation of neighbouring symbols.
 
-Their squared deviates are added; above ``MOST_ODD`` the candidate is not random.
-What passes is then held against the opposite case, a name or path: there, classes of characters
-(digit, small, capital, sign) change at a rate of at most ``NAME_RATE``.
+Each test gives a p-value under the hypothesis that the symbols are uniform and independent, and Fisher's method
+combines the three. Tests of short candidates have less power than tests of long ones, so within each
+band of lengths the Benjamini-Hochberg rule over the p-values of the whole table says which candidates are
+not random: of those it rules out, at most a share of ``MISSED_SHARE`` is random after all.
+What is left is then held against the opposite case, a name or path, which short
+tests can't rule out: there, classes of characters (digit, small, capital, sign) change at a rate of at most ``NAME_RATE``.
 The chance of as many changes in so many characters (Chernoff's bound, so it falls with the length)
-is the p-value; candidates fail the battery with p = 1. Within each band of
-lengths the Benjamini-Hochberg rule over the p-values of the whole table
-holds the share of false spans under ``FALSE_SHARE``. The rule reads a histogram of
-p-values (3 bands, 1201 bins), so three numbers reach the driver whatever the input.
+is a p-value too, and the same rule, by the same bands, holds the share of false spans under ``FALSE_SHARE``.
+Both rules read a histogram of p-values (3 bands, 1201 bins each), so six numbers reach the driver whatever the input.
 
 Defined results: a null text is empty and has no spans; rows that repeat are
 each given their result; an empty table gives no rows; other columns are not
@@ -31,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import let, table, written
 
 #: The base patterns, in the order of their kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -46,8 +47,7 @@ HEXADECIMAL = "0123456789abcdef"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
-#: The 0.999 quantile of chi-squared with 3 degrees of freedom.
-MOST_ODD = 16.27
+MISSED_SHARE = 0.01
 NAME_RATE = 0.08
 FALSE_SHARE = 0.01
 BANDS = (20, 32, 64)
@@ -105,12 +105,37 @@ def candidates(text: Column, base: Column) -> Column:
     return F.filter(matches(text, CANDIDATE, 3), free)
 
 
-def deviates(x: Column, k: Column) -> Column:
-    """Sum of the squared deviates of the three tests over symbol numbers x of an alphabet of k."""
+#: A rational approximation of the complementary error function (Abramowitz and Stegun 7.1.26).
+ERFC = (0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429))
+LN10 = 2.302585092994046
+
+
+def two_sided(z: Column) -> Column:
+    """The chance that a normal deviate is at least that far from 0."""
+
+    def erfc(x: Column) -> Column:
+        t = 1 / (1 + ERFC[0] * x)
+        poly = F.lit(0.0)
+        for c in reversed(ERFC[1]):
+            poly = (poly + c) * t
+        return poly * F.exp(-x * x)
+
+    return let(F.abs(z) / F.sqrt(F.lit(2.0)), erfc)
+
+
+def above(z: Column) -> Column:
+    """The chance that a normal deviate is at least so large."""
+    return let(two_sided(z), lambda p: F.when(z >= 0, p / 2).otherwise(1 - p / 2))
+
+
+def battery(x: Column, k: Column) -> Column:
+    """-log10 of the combined p-value of the three tests over symbol numbers x of an alphabet of k."""
     n = F.size(x).cast("double")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     counts = F.transform(F.array_distinct(x), lambda v: F.pow(F.size(F.filter(x, lambda u: u == v)).cast("double"), 2))
-    chi = (k / n * total(counts) - n - (k - 1)) / F.sqrt(2 * (k - 1))
+    # the cube root of chi-squared over its degrees is nearly normal (Wilson and Hilferty)
+    spread = 2 / (9 * (k - 1))
+    chi = (F.pow(F.greatest(k / n * total(counts) - n, F.lit(0.0)) / (k - 1), 1 / 3) - (1 - spread)) / F.sqrt(spread)
     pairs = F.sequence(F.lit(1), F.size(x) - 1)
     high = F.size(F.filter(x, lambda v: v >= k / 2)).cast("double")
     mean_runs = 2 * high * (n - high) / n + 1
@@ -124,11 +149,14 @@ def deviates(x: Column, k: Column) -> Column:
         return F.when(low > 0, top / low * F.sqrt(n)).otherwise(F.lit(9.0))
 
     ser = let(total(F.transform(x, lambda v: v.cast("double"))) / n, serial)
-    return F.pow(F.greatest(chi, F.lit(0.0)), 2) + F.pow(run_dev, 2) + F.pow(ser, 2)
+    logs = lambda p: F.log(F.greatest(p, F.lit(1e-30)))
+    # Fisher: minus twice the sum of logs is chi-squared with 6 degrees of freedom, whose tail has a closed form.
+    half = -(logs(above(chi)) + logs(two_sided(run_dev)) + logs(two_sided(ser)))
+    return let(half, lambda h: (h - F.log(1 + h + h * h / 2)) / LN10)
 
 
 def evidence(token: Column) -> Column:
-    """-log10 of the p-value of a token being a name; 0 where its symbols aren't random."""
+    """struct(odd, strength): -log10 of the p-values of a token being random and of its being a name."""
 
     def test(t: Column) -> Column:
         hexed, base32 = t.rlike("^([0-9a-f]+|[0-9A-F]+)$"), t.rlike("^[A-Z2-7]+$")
@@ -144,10 +172,9 @@ def evidence(token: Column) -> Column:
         def bound(r: Column) -> Column:
             e = NAME_RATE
             kl = r * F.log(r / e) + F.when(r < 1, (1 - r) * F.log((1 - r) / (1 - e))).otherwise(F.lit(0.0))
-            return F.when(r > e, n * kl / 2.302585092994046).otherwise(F.lit(0.0))
+            return F.when(r > e, n * kl / LN10).otherwise(F.lit(0.0))
 
-        odd = let(symbols, lambda x: deviates(x, k))
-        return F.when(odd <= MOST_ODD, let(rate, bound)).otherwise(F.lit(0.0))
+        return F.struct(let(symbols, lambda x: battery(x, k)).alias("odd"), let(rate, bound).alias("strength"))
 
     return let(token, test)
 
@@ -160,28 +187,43 @@ def bin_of(strength: Column) -> Column:
     return F.least(F.floor(strength * BINS), F.lit(MOST_BIN)).cast("int")
 
 
-def least_bins(docs: DataFrame, false_share: float) -> list[int]:
-    """For each band, the lowest histogram bin that the false-discovery rule lets through."""
+def _least(counts: DataFrame, bin_: str, share: float) -> list[int]:
+    """For each band, the lowest bin whose p-values the false-discovery rule rejects; counts: (band, bin, n)."""
+    more = Window.partitionBy("band").orderBy(F.desc(bin_))
+    counts = counts.groupBy("band", bin_).agg(F.sum("n").alias("n"))
+    counts = counts.withColumn("passed", F.sum("n").over(more)).withColumn("all", F.sum("n").over(Window.partitionBy("band")))
+    # A bin's p-values are at most 10^(-bin / BINS).
+    fits = counts.where((F.col(bin_) > 0) & (F.pow(F.lit(10.0), -F.col(bin_) / BINS) * F.col("all") <= share * F.col("passed")))
+    found = {r["band"]: r["least"] for r in fits.groupBy("band").agg(F.min(bin_).alias("least")).collect()}
+    return [found.get(i, MOST_BIN + 1) for i in range(len(BANDS))]
+
+
+def by_band(limits: list[int], band_: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in limits]), band_ + 1)
+
+
+def least_bins(docs: DataFrame, false_share: float) -> tuple[list[int], list[int]]:
+    """For each band, the lowest bin at which a candidate counts as not random, and the lowest at which it counts as no name."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # The base patterns need not be known where there is no candidate at all.
     rows = docs.select(text.alias("text")).where(F.col("text").rlike(CANDIDATE)).select("text", F.explode(F.array(base_spans(F.col("text")))).alias("base"))
-    rows = rows.select(F.explode(candidates(F.col("text"), F.col("base"))).alias("s")).select(band(F.length("s.said")).alias("band"), bin_of(evidence(F.col("s.said"))).alias("bin"))
-    counts = rows.groupBy("band", "bin").agg(F.count("*").alias("n"))
-    above = Window.partitionBy("band").orderBy(F.desc("bin"))
-    counts = counts.withColumn("passed", F.sum("n").over(above)).withColumn("all", F.sum("n").over(Window.partitionBy("band")))
-    # A bin's p-values are at most 10^(-bin / BINS).
-    fits = counts.where((F.col("bin") > 0) & (F.pow(F.lit(10.0), -F.col("bin") / BINS) * F.col("all") <= false_share * F.col("passed")))
-    found = {r["band"]: r["least"] for r in fits.groupBy("band").agg(F.min("bin").alias("least")).collect()}
-    return [found.get(i, MOST_BIN + 1) for i in range(len(BANDS))]
+    rows = rows.select(F.explode(candidates(F.col("text"), F.col("base"))).alias("s")).select(F.col("s.said").alias("said"), F.explode(F.array(evidence(F.col("s.said")))).alias("e"))
+    counts = rows.groupBy(band(F.length("said")).alias("band"), bin_of(F.col("e.odd")).alias("odd"), bin_of(F.col("e.strength")).alias("strength")).agg(F.count("*").alias("n"))
+    counts = written(counts, "p-values")
+    odd = _least(counts, "odd", MISSED_SHARE)
+    return odd, _least(counts.where(F.col("odd") < by_band(odd, F.col("band"))), "strength", false_share)
 
 
 def spans_column(docs: DataFrame, false_share: float = FALSE_SHARE):
     """A function from (text, base spans) to all spans, its thresholds fitted on all of ``docs``."""
-    least = least_bins(docs, false_share)
+    odd, least = least_bins(docs, false_share)
+
+    def secret(s: Column) -> Column:
+        own = band(F.length(s["said"]))
+        return let(evidence(s["said"]), lambda e: (bin_of(e["odd"]) < by_band(odd, own)) & (bin_of(e["strength"]) >= by_band(least, own)))
 
     def all_spans(text: Column, base: Column) -> Column:
-        limit = lambda t: F.element_at(F.array(*[F.lit(x) for x in least]), band(F.length(t)) + 1)
-        return F.sort_array(F.concat(base, F.filter(candidates(text, base), lambda s: bin_of(evidence(s["said"])) >= limit(s["said"]))))
+        return F.sort_array(F.concat(base, F.filter(candidates(text, base), secret)))
 
     return all_spans
 
