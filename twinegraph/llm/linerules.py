@@ -2,12 +2,12 @@
 
 Base measures come from each text by itself. The method then looks across
 documents: every line with a word is normalised (lower case, white space runs to
-one space, digits to 0), hashed, and the distinct texts that hold it are
-counted per host. Lines held by more than ``limit`` of a host's distinct texts,
-limit = max(least_documents, share * distinct texts of the host), are taken
-as removed; a document with less than ``least_left`` of its words outside
-removed lines is depleted and rejected. Exact copies of a text count once, so
-that a group of copies does not make its own lines frequent.
+one space, digits to 0), hashed, and the distinct documents (doc_id) that hold it are
+counted per host. Lines held by more than ``limit`` of a host's documents,
+limit = max(least_documents, min(share * documents of the host, most_documents)), are
+removed; a document with less than ``least_left`` of its words outside
+removed lines is depleted and rejected. Copies under other ids are documents like any other.
+``without_frequent_lines`` gives the texts that are left.
 
 Counting is pre-aggregated before each exchange, no group is collected, and the
 hot host only adds to partial counts. The lines above the limits go back to the
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import let, table, with_text
 
 #: Fixed values of the base measures.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -33,6 +33,7 @@ MOST_REPEATED = 50
 
 LEAST_DOCUMENTS = 20
 SHARE = 0.02
+MOST_DOCUMENTS = 10_000
 LEAST_LEFT = 0.5
 
 
@@ -97,15 +98,33 @@ def document_lines(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "host", "t1", "t2", "x.line", "x.n").groupBy("doc_id", "host", "t1", "t2", "line").agg(F.max("n").alias("n"), F.count("*").alias("times"))
 
 
-def frequent_lines(docs: DataFrame, least_documents: int, share: float) -> DataFrame:
-    """(host, line) held by more distinct texts of the host than its limit."""
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(normal(line))
+
+
+def frequent_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, share: float = SHARE, most_documents: int = MOST_DOCUMENTS) -> DataFrame:
+    """(host, line) held by more distinct documents of the host than its limit. Rows without an id are one document of their host."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     host = F.col("source").cast("string").alias("host")
-    lines = F.array_distinct(F.transform(line_stats(text), lambda x: F.xxhash64(normal(x["raw"]))))
-    held = docs.select(host, F.xxhash64(text).alias("t1"), F.explode(lines).alias("line"))
-    held = held.groupBy("host", "line", "t1").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("texts")).where(F.col("texts") > least_documents)
-    hosts = docs.select(host, F.xxhash64(text).alias("t1")).groupBy("host", "t1").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("all_texts"))
-    return held.alias("a").join(hosts.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host"))).where(F.col("texts") > F.col("all_texts") * share).select("a.host", "line")
+    lines = F.array_distinct(F.transform(line_stats(text), lambda x: line_hash(x["raw"])))
+    held = docs.select(host, "doc_id", F.explode(lines).alias("line"))
+    held = held.groupBy("host", "line", "doc_id").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > least_documents)
+    hosts = docs.select(host, "doc_id").groupBy("host", "doc_id").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("all_documents"))
+    limit = F.least(F.col("all_documents") * share, F.lit(float(most_documents)))
+    return held.alias("a").join(hosts.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host"))).where(F.col("documents") > limit).select("a.host", "line")
+
+
+def without_frequent_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, share: float = SHARE) -> DataFrame:
+    """The rows, their texts without the lines above their host's limit; ``n_chars`` follows where it exists, a null text stays null."""
+    frequent = frequent_lines(docs, least_documents, share).withColumnRenamed("host", "on")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("doc"), F.col("source").cast("string").alias("host"), F.xxhash64("source", text).alias("t1"), F.crc32(text.cast("binary")).alias("t2"), text.alias("text"))
+    lines = rows.select("host", "t1", "t2", F.explode(F.array_distinct(F.transform(line_stats(F.col("text")), lambda x: line_hash(x["raw"])))).alias("line"))
+    hit = lines.distinct().join(frequent, lines["host"].eqNullSafe(frequent["on"]) & (lines["line"] == frequent["line"]), "left_semi")
+    gone = hit.groupBy("t1", "t2").agg(F.collect_set("line").alias("gone"))  # no more than the text has lines
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("gone", line_hash(x))), "\n")
+    out = rows.join(gone, ["t1", "t2"], "left").withColumn("left", F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(left))
+    return out.select(*with_text(docs.columns, F.col("left")))
 
 
 def apply_rules(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, share: float = SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
@@ -134,7 +153,7 @@ def op4_line_rules(spark, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text FROM documents
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, '') AS id, source AS host, coalesce(text, '') AS text FROM documents
 ), w AS (
   SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d
 ), i AS (
@@ -144,7 +163,7 @@ WITH d AS (
 ), p AS (
   SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM g WHERE n > 1) GROUP BY r
 ), l AS (
-  SELECT r, host, text, unnest(string_split(text, chr(10))) AS raw FROM d
+  SELECT r, host, id, unnest(string_split(text, chr(10))) AS raw FROM d
 ), m AS (
   SELECT *, len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS n,
     regexp_replace(trim(regexp_replace(lower(raw), '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]', '0', 'g') AS line
@@ -153,7 +172,7 @@ WITH d AS (
   SELECT r, count(*) - count(DISTINCT raw) AS dup FROM m GROUP BY r
 ), f AS (
   SELECT m.host, line FROM m GROUP BY m.host, line
-  HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.02 * (SELECT count(DISTINCT text) FROM d WHERE d.host IS NOT DISTINCT FROM m.host)
+  HAVING count(DISTINCT id) > 20 AND count(DISTINCT id) > least(10000, 0.02 * (SELECT count(DISTINCT id) FROM d WHERE d.host IS NOT DISTINCT FROM m.host))
 ), x AS (
   SELECT r, sum(n) AS n FROM m SEMI JOIN f ON m.host IS NOT DISTINCT FROM f.host AND m.line = f.line GROUP BY r
 ), b AS (
