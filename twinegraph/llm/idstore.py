@@ -166,6 +166,8 @@ def get_file(uri: str) -> bytes:
         return f.read()
 
 
+#: Shards that a task reads one after the other, where there are many.
+SHARDS_A_TASK = 8
 MANIFEST = "part int, seq int, path string, n_docs long, n_ids long, low long, high long"
 
 
@@ -203,7 +205,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, kind: str = "byte"
 
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if held >= shard_bytes_at and key != keys[-1]:  # documents of one key stay together
+                if held >= shard_bytes_at:  # a key with many documents goes on in the next shard
                     yield close()
                 x = enc.encode(text.as_py()) + end
                 keys.append(key)
@@ -241,7 +243,10 @@ def read_entries(manifest: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return manifest.select("path", "base").repartition(F.col("path")).mapInArrow(read, ENTRIES)
+    # The manifest is a few small rows, so Spark would read every shard in one task if it were left to choose.
+    shards = max(1, manifest.count())
+    tasks = min(shards, max(64, shards // SHARDS_A_TASK))
+    return manifest.select("path", "base").repartition(tasks, "path").mapInArrow(read, ENTRIES)
 
 
 def op2_token_store(spark, sf_dir: str) -> DataFrame:
