@@ -10,7 +10,8 @@ their pieces are strung together, cut at window ends, and the last sequence is
 cut at powers of two, so that nothing is padded.
 
 Each input partition packs its own rows without a shuffle; a sequence never
-spans partitions. ``sequence_id`` is the partition's number times 2^36 plus a
+spans partitions. Small input partitions are read together, up to about ``LEAST_TASK_BYTES`` of the table's files a task, since
+what is still open at a task's end is cut, not placed by the rule. ``sequence_id`` is the partition's number times 2^36 plus a
 count. At most ``most_open`` windows are open at a time; beyond that the
 emptiest half is closed as above, no piece is dropped.
 
@@ -35,6 +36,7 @@ from .pieces import encoder
 
 WINDOW = 4096
 MOST_OPEN = 8192
+LEAST_TASK_BYTES = 64 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -162,6 +164,8 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 2, w
         yield rows_batch(packer.finish())
 
     small_batches(docs.sparkSession)
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    docs = docs.coalesce(max(1, min(1 << 30, -(-size // LEAST_TASK_BYTES))))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
