@@ -66,7 +66,7 @@ def test_whole_operator(spark, length, most):
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
     keyed = suffix._keyed(docs)
     repeats = suffix._repeats(keyed, length, most, 7)
-    got = keyed.select("doc", "n_bytes", "bytes", "row.doc_id").join(repeats, ["doc", "n_bytes"], "left").select("doc_id", "bytes", "spans", "passages").mapInArrow(suffix._digests(7), suffix.DIGESTS).collect()
+    got = keyed.select("doc", "n_bytes", "bytes", "row.doc_id").join(repeats, ["doc", "n_bytes"], "left").select("doc_id", "bytes", "spans", "passages").mapInArrow(suffix._digests, suffix.DIGESTS).collect()
     raw = [(t or "").encode() for _, t, _ in rows]
     want = [(k, *x, n) for (k, _, _), x, n in zip(rows, brute(raw, length), brute_passages(raw, 7), strict=True)]
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))

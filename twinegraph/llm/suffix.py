@@ -32,7 +32,7 @@ Byte equality in 2 and 4 rests on pairs of 64-bit hashes, in 3 on the bytes.
 
 Passages counted in words (``remove_repeats`` with ``words``) go the same way: a text becomes
 a string of ``CODE`` bytes for each word, so ``words`` words are a string of one length, however
-short they are and whatever blanks stand between them. Equality of words rests on 32-bit hashes.
+short they are and whatever blanks stand between them. Anchors, columns and rounds are then words, not bytes. Equality of words rests on 32-bit hashes.
 
 Defined results: a null or empty text has nothing to remove; repeated rows are
 copies of each other; a null key is a key like any other; an empty table gives no rows;
@@ -61,7 +61,6 @@ MOST_GROUP = 50_000
 AT_ONCE = 4096
 #: Bytes that stand for a word where passages are counted in words.
 CODE = 4
-WORD = r"[^\x20\x09-\x0D]+"
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -80,10 +79,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hashes(text: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i] the unscaled hash of text[i:j]."""
+    """P with P[j] - P[i] the unscaled hash of text[i:j]; text: bytes, or words' codes of 32 bits."""
     up, _ = _power_tables(text.size + 1)
     out = np.zeros(text.size + 1, np.uint64)
-    np.cumsum(_letters[text] * up[: text.size], dtype=np.uint64, out=out[1:])
+    letters = _letters[text] if text.dtype == np.uint8 else _stir(text.astype(np.uint64) + np.uint64(BASE))
+    np.cumsum(letters * up[: text.size], dtype=np.uint64, out=out[1:])
     return out
 
 
@@ -170,11 +170,13 @@ class CollectionOrder:
             f.close()
 
 
-NOTHING = 255  # stands where a text ends; no byte of UTF-8 equals it
+#: Symbols by their bytes, and what stands where a text ends: no byte of UTF-8 and no word's code equals it.
+SYMBOLS = {1: np.uint8, 4: np.uint32}
+NOTHING = {1: 255, 4: 2**32 - 1}
 
 
 def repeated_starts(columns: np.ndarray, length: int) -> np.ndarray:
-    """columns: of documents of ``reach`` bytes before an anchor, then ``length`` from it on. Entry [i, s]: whether the string of
+    """columns: of documents of ``reach`` symbols before an anchor, then ``length`` from it on. Entry [i, s]: whether the string of
     ``length`` that starts s before the anchor of document i is also in another one at the same place."""
     reach = columns.shape[0] - length
     found = np.zeros((columns.shape[1], reach + 1), bool)
@@ -210,9 +212,13 @@ def _batch(schema: str, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, names, strict=True)], [n for n, _ in names])
 
 
-def _anchor_rows(length: int, half: int):
-    """A row per document, window and surroundings, with all the places where the document has them: what repeats inside a document stays one row."""
-    reach = length - half
+def _anchor_rows(length: int, half: int, unit: int):
+    """A row per document, window and surroundings, with all the places where the document has them: what repeats inside a document stays one row.
+
+    Lengths and places are in bytes; anchors stand at multiples of ``unit``.
+    """
+    n, w, reach = length // unit, half // unit, (length - half) // unit
+    kind = SYMBOLS[unit]
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
         key, around, doc, size, times, places = map(np.concatenate, zip(*out, strict=True))
@@ -224,18 +230,18 @@ def _anchor_rows(length: int, half: int):
         for b in batches:
             out: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else np.zeros(0, np.uint8)
-                if x.size < length:
+                x = np.frombuffer(text.as_buffer(), kind) if text.is_valid else np.zeros(0, kind)
+                if x.size < n:
                     continue
-                at, own, prefix = anchors(x, length, half)
-                first, last = np.maximum(at - reach, 0), np.minimum(at + length, x.size)
+                at, own, prefix = anchors(x, n, w)
+                first, last = np.maximum(at - reach, 0), np.minimum(at + n, x.size)
                 around = (span_hash(prefix, first, last) + (at - first).astype(np.uint64)).view(np.int64)
                 own = own.view(np.int64)
                 order = np.lexsort((at, around, own))
                 own, around = own[order], around[order]
                 new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (around[1:] != around[:-1])]))
                 times = np.diff(np.append(new, at.size))
-                out.append((own[new], around[new], np.full(new.size, doc), np.full(new.size, x.size), times, at[order]))
+                out.append((own[new], around[new], np.full(new.size, doc), np.full(new.size, x.size * unit), times, at[order] * unit))
                 if len(out) >= 500 or at.size > 1 << 20:
                     yield batch(out)
                     out = []
@@ -295,24 +301,25 @@ def _part_keys(length: int, half: int):
     return run
 
 
-def _compare(length: int, half: int, at_once: int):
+def _compare(length: int, half: int, at_once: int, unit: int):
     """Groups of one part, sorted, compared in collections of up to ``at_once`` documents and the rest of a group."""
-    reach = length - half
+    n, reach, kind = length // unit, (length - half) // unit, SYMBOLS[unit]
 
     def ranges(rows: list[tuple]) -> pa.RecordBatch:
-        columns = np.empty((reach + length, len(rows)), np.uint8)
+        columns = np.empty((reach + n, len(rows)), kind)
         lo, hi = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
         for k in range(0, len(rows), 1024):
             part = rows[k : k + 1024]
-            wide = np.full((len(part), reach + length), NOTHING, np.uint8)
+            wide = np.full((len(part), reach + n), NOTHING[unit], kind)
             for i, (_, _, x, skip, a, z) in enumerate(part):
-                wide[i, skip : skip + len(x)] = np.frombuffer(x, np.uint8)
-                lo[k + i], hi[k + i] = max(a, reach + length - skip - len(x)), min(z, reach - skip)
+                own, before = np.frombuffer(x, kind), skip // unit
+                wide[i, before : before + own.size] = own
+                lo[k + i], hi[k + i] = max(a, (reach + n - before - own.size) * unit), min(z, (reach - before) * unit)
             columns[:, k : k + len(part)] = wide.T
-        s = np.arange(reach + 1)[None, :]
-        r, first, last = runs_of(repeated_starts(columns, length) & (s >= lo[:, None]) & (s <= hi[:, None]))
+        s = np.arange(reach + 1)[None, :] * unit
+        r, first, last = runs_of(repeated_starts(columns, n) & (s >= lo[:, None]) & (s <= hi[:, None]))
         key, around = np.asarray([x[0] for x in rows], np.int64), np.asarray([x[1] for x in rows], np.int64)
-        return _batch(RANGES, key[r], around[r], first, last)
+        return _batch(RANGES, key[r], around[r], first * unit, last * unit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -333,9 +340,12 @@ def _compare(length: int, half: int, at_once: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, most_group: int = MOST_GROUP) -> DataFrame:
-    """(doc, n_bytes, spans) of the texts with something to remove; docs: (doc, n_bytes, bytes). spans: (first, last) of bytes, last exclusive, unordered."""
-    half = max(1, length * 8 // 25)
+def repeated_spans(docs: DataFrame, length: int = LENGTH, most_group: int = MOST_GROUP, unit: int = 1) -> DataFrame:
+    """(doc, n_bytes, spans) of the texts with something to remove; docs: (doc, n_bytes, bytes). spans: (first, last) of bytes, last exclusive, unordered.
+
+    With ``unit``, texts are symbols of so many bytes, and only strings that start and end at whole symbols count.
+    """
+    half = max(1, length * 8 // 25 // unit) * unit
     reach = length - half
     long = docs.where(F.col("n_bytes") >= length)
     temporary: list[DataFrame] = []
@@ -344,7 +354,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most_group: int = MOST
         temporary.append(out := written(df, tag))
         return out
 
-    found = kept(long.select("doc", "bytes").mapInArrow(_anchor_rows(length, half), ANCHORS), "anchors")
+    found = kept(long.select("doc", "bytes").mapInArrow(_anchor_rows(length, half, unit), ANCHORS), "anchors")
     times = F.sum(F.size("places")).alias("n")
     # Written first, so that the join has an exchange of its own on either side and a hot window's rows can be dealt to several tasks.
     windows = found.groupBy("key").agg(times, F.min("around").alias("least"), F.max("around").alias("most")).where(F.col("n") > 1)
@@ -360,13 +370,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most_group: int = MOST
     while True:
         sizes = todo.groupBy("part").agg(F.count("*").alias("n")).where("n > 1")
         small = todo.join(sizes.where(F.col("n") <= most_group), "part").drop("n")
-        results.append(small.repartition("part").sortWithinPartitions("part").mapInArrow(_compare(length, half, min(most_group, AT_ONCE)), RANGES))
+        results.append(small.repartition("part").sortWithinPartitions("part").mapInArrow(_compare(length, half, min(most_group, AT_ONCE), unit), RANGES))
         if sizes.where(F.col("n") > most_group).limit(1).count() == 0:
             break
         # A hot window: each half of the starts needs more of the surroundings to be equal.
         large = todo.join(sizes.where(F.col("n") > most_group), "part")
-        mid = F.floor((F.col("lo") + F.col("hi")) / 2)
-        halves = large.withColumn("h", F.explode(F.array(F.struct(F.col("lo").alias("a"), mid.alias("z")), F.struct((mid + 1).alias("a"), F.col("hi").alias("z")))))
+        mid = F.floor((F.col("lo") + F.col("hi")) / (2 * unit)) * unit
+        halves = large.withColumn("h", F.explode(F.array(F.struct(F.col("lo").alias("a"), mid.alias("z")), F.struct((mid + unit).alias("a"), F.col("hi").alias("z")))))
         halves = halves.select("key", "around", "bytes", "skip", F.col("h.a").alias("lo"), F.col("h.z").alias("hi"), "part", F.lit("").alias("same"))
         halves = kept(halves.mapInArrow(_part_keys(length, half), halves.schema), "parts")
         # Rows that agree on all that the half can cover are repeated throughout it, and one of them goes on.
@@ -389,21 +399,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most_group: int = MOST
     return out
 
 
-def cut(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
+def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs that spans (last exclusive) cover, in order."""
+    if not first.size:
+        return first, last
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], np.maximum.accumulate(last[order])
+    new = np.flatnonzero(np.concatenate([[True], first[1:] > last[:-1]]))
+    return first[new], last[np.append(new[1:] - 1, last.size - 1)]
+
+
+def cut(text: bytes, first: np.ndarray, last: np.ndarray) -> tuple[bytes, int, int]:
     """The bytes outside the spans, how many were inside, and in how many runs."""
-    kept, at, runs = [], 0, 0
-    first = last = None
-    for f, z in [*sorted((s["first"], s["last"]) for s in spans), (len(text) + 1, None)]:
-        if last is None or f > last:
-            if last is not None:
-                kept.append(text[at:first])
-                at, runs = last, runs + 1
-            first, last = f, z
-        elif z is not None:
-            last = max(last, z)
-    kept.append(text[at:])
-    out = b"".join(kept)
-    return out, len(text) - len(out), runs
+    first, last = merged(first, last)
+    if not first.size:
+        return text, 0, 0
+    edges = zip([0, *last.tolist()], [*first.tolist(), len(text)], strict=True)
+    return b"".join([text[a:z] for a, z in edges]), int((last - first).sum()), first.size
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -413,32 +425,33 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def word_edges(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First place and end of each word, as ``WORD`` finds them."""
+    """First place and end of each word: what stands between white space."""
     blank = (text == 32) | ((text >= 9) & (text <= 13))
     step = np.diff(np.concatenate([[1], blank.astype(np.int8), [1]]))
     return np.flatnonzero(step == -1), np.flatnonzero(step == 1)
 
 
-CODES = "doc long, n_bytes long, bytes binary"
+CODES = "doc long, n_text long, n_bytes long, bytes binary"
 
 
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, n_bytes, bytes) of the texts' words, ``CODE`` bytes each, none of them NOTHING."""
+    """The texts as their words' codes of ``CODE`` bytes, none of them NOTHING; n_text: bytes of the text, n_bytes: of its codes."""
     for b in batches:
         out = []
-        for text in b.column(1):
+        for text in b.column(2):
             x = np.frombuffer(text.as_buffer(), np.uint8)
             codes = (span_hash(prefix_hashes(x), *word_edges(x)) >> np.uint64(32)).astype("<u4")
-            out.append(np.minimum(codes.view(np.uint8), NOTHING - 1).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in out], pa.int64()), pa.array(out, pa.binary())], [x.split()[0] for x in CODES.split(", ")])
+            out.append(np.minimum(codes, NOTHING[CODE] - 1).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in out], pa.int64()), pa.array(out, pa.binary())], [x.split()[0] for x in CODES.split(", ")])
     give_back()
 
 
-def word_spans(text: bytes, passages: list[dict], words: int) -> list[dict]:
-    """The bytes from the first word to the last of each passage; passages: spans of the text's codes. Words of which a span has a part only are not in it."""
-    first, last = word_edges(np.frombuffer(text, np.uint8)) if passages else (None, None)
-    inside = [(-(-p["first"] // CODE), p["last"] // CODE) for p in passages]
-    return [{"first": int(first[a]), "last": int(last[z - 1])} for a, z in inside if z - a >= words]
+def word_spans(text: bytes, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes from the first word to the last of each passage; first and last: spans of the text's codes."""
+    if not first.size:
+        return first, last
+    begin, end = word_edges(np.frombuffer(text, np.uint8))
+    return begin[first // CODE], end[last // CODE - 1]
 
 
 SPANS = "array<struct<first:bigint,last:bigint>>"
@@ -449,26 +462,36 @@ def _repeats(keyed: DataFrame, length: int, most_group: int, words: int) -> Data
     spans = repeated_spans(keyed.select("doc", "n_bytes", "bytes"), length, most_group)
     if not words:
         return spans.withColumn("passages", F.lit(None).cast(SPANS))
-    coded = keyed.select("doc", "bytes").mapInArrow(_codes, CODES)
-    passages = repeated_spans(coded, CODE * words, most_group).select("doc", F.col("n_bytes").alias("n_coded"), F.col("spans").alias("passages"))
-    sizes = keyed.select("doc", "n_bytes", (CODE * F.regexp_count(F.coalesce("row.text", F.lit("")), F.lit(WORD))).cast("long").alias("n_coded")).distinct()
-    return spans.join(passages.join(sizes, ["doc", "n_coded"]).drop("n_coded"), ["doc", "n_bytes"], "full")
+    coded = written(keyed.select("doc", "n_bytes", "bytes").mapInArrow(_codes, CODES), "codes")
+    passages = repeated_spans(coded.select("doc", "n_bytes", "bytes"), CODE * words, most_group, CODE)
+    sizes = coded.select("doc", "n_bytes", "n_text").distinct()
+    passages = written(passages.join(sizes, ["doc", "n_bytes"]).select("doc", F.col("n_text").alias("n_bytes"), F.col("spans").alias("passages")), "passages")
+    forget(coded)
+    return spans.join(passages, ["doc", "n_bytes"], "full")
 
 
 DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long"
 
 
-def _digests(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for key, text, spans, passages in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), strict=True):
-                kept, removed, runs = cut(x := text.as_py(), spans.as_py() or [])
-                out.append((key, len(x), removed, runs, hashlib.sha256(kept).hexdigest(), cut(x, word_spans(x, passages.as_py() or [], words))[1]))
-            yield _batch(DIGESTS, *(zip(*out, strict=True) if out else [()] * 6))
-        give_back()
+def _each(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(first, last) of each row's spans; none for a null."""
+    offsets = column.offsets.to_numpy()
+    first, last = (column.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    for a, z, known in zip(offsets[:-1].tolist(), offsets[1:].tolist(), valid, strict=True):
+        z = z if known else a
+        yield first[a:z], last[a:z]
 
-    return run
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for key, text, spans, passages in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _each(b.column(2)), _each(b.column(3)), strict=True):
+            kept, removed, runs = cut(text, *spans)
+            begin, end = merged(*word_spans(text, *passages))
+            out.append((key, len(text), removed, runs, hashlib.sha256(kept).hexdigest(), int((end - begin).sum())))
+        yield _batch(DIGESTS, *(zip(*out, strict=True) if out else [()] * 6))
+    give_back()
 
 
 #: Words of the least passage that counts in ``n_passage_bytes``.
@@ -481,7 +504,7 @@ def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     keyed = _keyed(table(spark, sf_dir, "documents").select("doc_id", "text"))
     repeats = _repeats(keyed, LENGTH, MOST_GROUP, PASSAGE)
     joined = keyed.select("doc", "n_bytes", "bytes", F.col("row.doc_id").cast("long").alias("doc_id")).join(repeats, ["doc", "n_bytes"], "left")
-    return joined.select("doc_id", "bytes", "spans", "passages").mapInArrow(_digests(PASSAGE), DIGESTS)
+    return joined.select("doc_id", "bytes", "spans", "passages").mapInArrow(_digests, DIGESTS)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, most_group: int = MOST_GROUP, words: int = 0) -> DataFrame:
@@ -494,8 +517,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most_group: int = MOST
 
     @F.pandas_udf("string")
     def left(bytes_: pd.Series, spans_: pd.Series, passages_: pd.Series) -> pd.Series:
-        cuts = ((x, [*s, *word_spans(x, list(p), words)]) for x, s, p in zip(bytes_, spans_, passages_, strict=True))
-        return pd.Series([cut(x, s)[0].decode("utf-8", "ignore") for x, s in cuts], dtype=object)
+        ends = lambda s: [np.asarray([x[k] for x in s], np.int64) for k in ("first", "last")]
+        out = []
+        for x, s, p in zip(bytes_, spans_, passages_, strict=True):
+            both = zip(ends(s), word_spans(x, *ends(p)), strict=True)
+            out.append(cut(x, *map(np.concatenate, both))[0].decode("utf-8", "ignore"))
+        return pd.Series(out, dtype=object)
 
     none = F.array().cast(SPANS)
     joined = joined.withColumn("shorter", F.when(F.col("spans").isNotNull() | F.col("passages").isNotNull(), left("bytes", F.coalesce("spans", none), F.coalesce("passages", none))))
