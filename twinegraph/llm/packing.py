@@ -164,7 +164,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 2, w
         yield rows_batch(packer.finish())
 
     small_batches(docs.sparkSession)
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     docs = docs.coalesce(max(1, min(1 << 30, -(-size // LEAST_TASK_BYTES))))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
