@@ -1,5 +1,7 @@
 """The alignment's rules on hand-made cases, and the whole of it on small graphs with known answers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +42,20 @@ def test_local_functionality_of_lists(spark):
     t = triples(spark, [("a", "p", "x"), ("a", "p", "y"), ("b", "p", "y"), ("b", "p", "z"), ("c", "p", "w")])
     asked = spark.createDataFrame([(1, "a", "p"), (1, "b", "p"), (2, "a", "p"), (2, "c", "p")], "id int, s string, p string")
     assert got(graph.KnowledgeGraph(t).local_functionality_of(asked), "id", "f") == [(1, 1.0), (2, 0.0)]
+    asked = spark.createDataFrame([(3, "a", "p"), (3, "a", "p"), (4, "none", "p"), (5, "none", "p"), (5, "a", "p"), (6, "b", "p"), (6, "a", "p"), (6, "c", "p")], "id int, s string, p string")
+    assert got(graph.KnowledgeGraph(t).local_functionality_of(asked), "id", "f") == [(3, 0.5), (4, 0.0), (5, 0.0), (6, 0.0)]
+    r = random.Random(4)
+    rows = sorted({(f"s{r.randint(0, 9)}", r.choice("pq"), f"o{r.randint(0, 6)}") for _ in range(90)})
+    lists = sorted({(i, f"s{r.randint(0, 9)}", r.choice("pq")) for i in range(40) for _ in range(r.randint(1, 3))})
+    held = {}
+    for s, p, o in rows:
+        held.setdefault((s, p), set()).add(o)
+    want = []
+    for i in range(40):
+        shared = set.intersection(*[held.get((s, p), set()) for k, s, p in lists if k == i])
+        want.append((i, 1 / len(shared) if shared else 0.0))
+    t = triples(spark, rows)
+    assert dict(got(graph.KnowledgeGraph(t).local_functionality_of(spark.createDataFrame(lists, "id int, s string, p string")), "id", "f")) == pytest.approx(dict(want))
 
 
 @pytest.mark.parametrize(
@@ -131,6 +147,37 @@ def test_rule_prefixes_and_pattern(spark):
     assert got(rules.rule_scores(unlike, t1, t2, fun, fun2), "score") == [(0.4,)]
 
 
+def two_graphs(seed):
+    """Two random graphs around shared hubs, literals and rare nodes."""
+    r = random.Random(seed)
+    a, b = [], []
+    for i in range(30):
+        for x, out, label, at in (("a", a, "rdfs:label", "a:at"), ("b", b, "rdfs:label", "b:in")):
+            if r.random() < 0.9:
+                out.append((f"{x}:{i}", label, f'"n{i % 22}"'))
+            out += [(f"{x}:{i}", at, f"{x}:hub{i % 2 if r.random() < 0.9 else r.randint(0, 2)}"), (f"{x}:{i}", f"{x}:knows", f"{x}:{r.randint(0, 29)}"), (f"{x}:{i}", f"{x}:year", f'"{1990 + i % 4}"^^xsd:date')]
+        a += [(f"a:hub{i % 3}", "rdfs:label", f'"hub{i % 3}"')]
+        b += [(f"b:hub{i % 3}", "rdfs:label", f'"hub{i % 3}"')]
+    return a, b
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_short_ways_agree_with_the_long_ones(spark, seed):
+    t1, t2 = (graph.inverse_closure(triples(spark, x)) for x in two_graphs(seed))
+    fun = functionality.merge_least(functionality.functionality(t1), functionality.functionality(t2), ["p"])
+    known = literals.map_literals(t1, t2)
+    blocks = rules.bootstrap_blocks(t1, t2, rules.bilateral_max(known), fun)
+    every = rules.monotone_merge(rules.bootstrap(t1, t2, rules.bilateral_max(known), fun), known, ["e1", "e2"])
+    assert got(rules.bootstrap_first(t1, t2, blocks, known), "e1", "e2", "score") == got(rules.first_choice(every), "e1", "e2", "score")
+    assign = rules.bilateral_max(every)
+    quasi = rules.quasi_equivalence(rules.inclusion(t1, t2, assign, 3.0), rules.inclusion(t2, t1, rules.flipped(assign), 3.0))
+    cols = ("s1", "s2", "o", "pm", "o2", "q", "rk")
+    want = got(rules.evidence_selection(rules.evidence_search(t1, t2, assign, quasi), assign), *cols)
+    assert want
+    for hub in (0, 3, 1000):
+        assert got(rules.chosen_evidence(t1, t2, assign, quasi, hub=hub), *cols) == want
+
+
 def test_four_triples_with_a_known_answer(spark):
     a = [("yago:Elvis", "rdfs:label", '"Elvis"'), ("yago:Elvis", "yago:marriedTo", "yago:Priscilla")]
     b = [(s.replace("yago", "dbp"), p.replace("yago", "dbp"), o.replace("yago", "dbp")) for s, p, o in a]

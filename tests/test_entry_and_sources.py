@@ -59,8 +59,12 @@ def test_oaei_xml(spark, tmp_path):
 <map><Cell><entity1 rdf:resource="http://k/resource/r"/><entity2 rdf:resource="http://l/resource/s"/></Cell></map></rdf>""")
     assert got(loaders.load_oaei_gold(spark, str(tmp_path / "reference.xml"), "http://k/"), "kind", "e1", "e2") == [
         ("class", "<http://k/class/A>", "<http://l/class/B>"), ("instance", "<http://k/resource/r>", "<http://l/resource/s>")]
-    (tmp_path / "source.xml").write_text("""<rdf:RDF><rdf:Description rdf:about="http://k/x"><rdfs:label xml:lang="en">X "1"</rdfs:label><k:of rdf:resource="http://k/y"/></rdf:Description></rdf:RDF>""")
-    assert got(loaders.read_rdf_xml(spark, str(tmp_path / "source.xml")), "p", "o") == [("k:of", "<http://k/y>"), ("rdfs:label", "\"X '1'\"@en")]
+    (tmp_path / "source.xml").write_text("""<!DOCTYPE r [<!ENTITY e "and">]><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:k="http://k/">
+<rdf:Description rdf:about="http://k/x"><rdfs:label xml:lang="en">X "1" &e; 2</rdfs:label><k:of rdf:resource="http://k/y"/><k:n><![CDATA[<3]]></k:n></rdf:Description>
+<k:City rdf:about="http://k/c" k:code="7"><k:mayor><k:Person rdf:about="http://k/p"><k:age rdf:datatype="http://www.w3.org/2001/XMLSchema#int">40</k:age></k:Person></k:mayor></k:City></rdf:RDF>""")
+    assert got(loaders.read_rdf_xml(spark, str(tmp_path / "source.xml")), "s", "p", "o") == sorted([
+        ("<http://k/x>", "k:of", "<http://k/y>"), ("<http://k/x>", "rdfs:label", "\"X '1' and 2\"@en"), ("<http://k/x>", "k:n", '"<3"'), ("<http://k/c>", "rdf:type", "k:City"), ("<http://k/c>", "k:code", '"7"'),
+        ("<http://k/c>", "k:mayor", "<http://k/p>"), ("<http://k/p>", "rdf:type", "k:Person"), ("<http://k/p>", "k:age", '"40"^^xsd:int')])
 
 
 def test_seeds_and_results(spark, tmp_path):

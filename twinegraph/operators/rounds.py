@@ -25,14 +25,19 @@ def shared_folder(spark: SparkSession) -> str:
     return where.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from Parquet files in the shared folder, so a plan ends there and later reads prune columns. Removed with the session."""
-    spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}")
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A fresh folder under the shared one, removed with the session."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}")
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(where)
     fs.deleteOnExit(where)
-    path = f"{where.toString()}/t"
+    return where.toString()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from Parquet files in the shared folder, so a plan ends there and later reads prune columns."""
+    spark = df.sparkSession
+    path = new_folder(spark, "cut") + "/t"
     df.write.option("compression", "lz4_raw").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

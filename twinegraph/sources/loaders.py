@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import local_name, sanitise_literal
+from .rdfxml import read_rdf_xml
 from .turtle import read_turtle
 
 # Fixed value: how datatypes are written in full.
@@ -93,18 +94,6 @@ def load_oaei(spark: SparkSession, folder: str, format: str = "ttl") -> tuple[Da
     return read(spark, f"{folder}/source.{format}"), read(spark, f"{folder}/target.{format}")
 
 
-def read_rdf_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Flat RDF/XML: one description per subject, one element per fact."""
-    rows = spark.read.text(path, wholetext=True)
-    body = F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(<rdf:Description\b.*?</rdf:Description>)"), F.lit(1))).alias("d")
-    rows = rows.select(body).select(F.regexp_extract("d", 'rdf:about="([^"]*)"', 1).alias("s"), F.explode(F.regexp_extract_all("d", F.lit(r"(?s)(<(?!rdf:Description\b)[\w:.-]+\b[^>]*/>|<(?!rdf:Description\b)[\w:.-]+\b[^>]*[^/]>[^<]*</|<(?!rdf:Description\b)[\w:.-]+>[^<]*</)"), F.lit(1))).alias("e"))
-    target, lang, kind = (F.regexp_extract("e", f'{k}="([^"]*)"', 1) for k in ("rdf:resource", "xml:lang", "rdf:datatype"))
-    text = F.concat(F.lit('"'), F.replace(sanitise_literal(F.regexp_extract("e", r"(?s)>([^<]*)</", 1)), F.lit('"'), F.lit("'")), F.lit('"'))
-    full = F.when(lang != "", F.concat(text, F.lit("@"), lang)).when(kind != "", F.concat(text, F.lit("^^"), F.regexp_replace(kind, "^" + XML_SCHEMA, "xsd:"))).otherwise(text)
-    iri = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
-    return rows.select(iri(F.col("s")).alias("s"), F.regexp_extract("e", r"^<([\w:.-]+)", 1).alias("p"), F.when(target != "", iri(target)).otherwise(full).alias("o")).distinct()
-
-
 def load_small_test(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     return read_turtle(spark, f"{base}1.ttl"), read_turtle(spark, f"{base}2.ttl")
 
@@ -135,9 +124,9 @@ def load_openea_gold(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_dbp15k_gold(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Training and test pairs, decoded by the two dictionaries."""
+    """Training and test pairs, decoded by the two dictionaries; of pairs that repeat a key the one with the greatest partner stays."""
     ids = [fields(spark, f"{folder}/ent_ids_{i}", [f"id{i}", f"e{i}"]) for i in (1, 2)]
-    read = lambda f: fields(spark, f"{folder}/{f}", ["id1", "id2"]).join(ids[0], "id1").join(ids[1], "id2").select("e1", "e2")
+    read = lambda f: fields(spark, f"{folder}/{f}", ["id1", "id2"]).join(ids[0], "id1").join(ids[1], "id2").groupBy("e1").agg(F.max("e2").alias("e2"))
     return read("sup_pairs"), read("ref_pairs")
 
 
