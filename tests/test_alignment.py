@@ -227,3 +227,15 @@ def test_turtle(spark, tmp_path):
     assert {tuple(r) for r in g.triples.where(~F.col("s").startswith("ys:") & ~F.col("o").startswith("ys:")).collect()} == {r for r in rows if not r[0].startswith("ys:") and not r[2].startswith("ys:")}
     start = g.triples.where("p = 'x:l'").select(F.col("o").alias("start"))
     assert got(g.list_items(start), "position", "item") == [(0, "x:d"), (1, '"e"')]
+
+
+def test_nearest_of_a_name_that_shares_its_vector(spark, tmp_path):
+    from twinegraph.plans.catalogue_io import QUERIES
+
+    names = ["Customer#000010000", "Customer#000001000", "Customer#000001000", "Customer#000000007", None]
+    spark.createDataFrame([(n,) for n in names], "c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    found = [tuple(r) for r in QUERIES["encoded_nearest"](spark, str(tmp_path)).collect()]
+    assert sorted(found, key=str) == sorted([(n, n) for n in names], key=str)
+    vec = [(k, [1.0, 0.0]) for k in ("a", "b")]
+    v = spark.createDataFrame(vec, "key string, vec array<double>")
+    assert got(literals.match_embedding(v, v, 0.5, block=1), "key1", "key2") == [("a", "a"), ("b", "b")]
