@@ -239,6 +239,12 @@ def test_line_rules(spark):
     # copies under other ids are documents: their lines become frequent
     copies = documents(spark, ["same line of words\nalone"] * 30 + ["another\ntext"] * 20)
     assert linerules.frequent_lines(copies).count() == 2
+    # only lines that more rows hold than the limit go on to be counted by document
+    many = copies.union(documents(spark, ["rows of one document"], [7]).crossJoin(spark.range(30).select(F.lit(1).alias("copy"))).drop("copy"))
+    common = linerules.common_lines(many, 20)
+    assert sorted((x["line"], x["n"]) for x in common.groupBy("line").agg(F.sum("times").alias("n")).collect()) == sorted(
+        (x["line"], 30) for x in spark.createDataFrame([("same line of words",), ("alone",), ("rows of one document",)], "t string").select(linerules.line_hash(F.col("t")).alias("line")).collect())
+    assert linerules.frequent_lines(many, common=common).count() == 2
 
 
 # --- 6

@@ -10,8 +10,9 @@ removed lines is depleted and rejected. Copies under other ids are documents lik
 ``without_frequent_lines`` gives the texts that are left.
 
 Counting is pre-aggregated before each exchange, no group is collected, and the
-hot host only adds to partial counts. The lines above the limits go back to the
-documents through a join on (host, line).
+hot host only adds to partial counts. Rows are counted first: a line that too few rows
+hold needs no count of documents. The others go back to the documents through a join on
+(host, line), and the exact counts and the removed words come from what it finds.
 
 Defined results: a null text has no words and is empty; a null host is a
 host of its own; rows that repeat a document get the same row each; an empty
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, table, with_text
+from .common import let, table, with_text, written
 
 #: Fixed values of the base measures.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -89,27 +90,43 @@ def rule_rows(docs: DataFrame) -> DataFrame:
     )
 
 
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(normal(line))
+
+
 def document_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, host, text hashes, line hash, words): a row for each line with a word."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.transform(line_stats(text), lambda x: F.struct(F.xxhash64(normal(x["raw"])).alias("line"), x["n"].alias("n")))
+    lines = F.transform(line_stats(text), lambda x: F.struct(line_hash(x["raw"]).alias("line"), x["n"].alias("n")))
     return docs.select(
         "doc_id", F.col("source").cast("string").alias("host"), F.xxhash64(text).alias("t1"), F.crc32(text.cast("binary")).alias("t2"), F.explode(lines).alias("x"),
-    ).select("doc_id", "host", "t1", "t2", "x.line", "x.n").groupBy("doc_id", "host", "t1", "t2", "line").agg(F.max("n").alias("n"), F.count("*").alias("times"))
+    ).select("doc_id", "host", "t1", "t2", "x.line", "x.n")
 
 
-def line_hash(line: Column) -> Column:
-    return F.xxhash64(normal(line))
+def on_line(a: str, b: str) -> Column:
+    return F.col(f"{a}.host").eqNullSafe(F.col(f"{b}.host")) & (F.col(f"{a}.line") == F.col(f"{b}.line"))
 
 
-def frequent_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, share: float = SHARE, most_documents: int = MOST_DOCUMENTS) -> DataFrame:
-    """(host, line) held by more distinct documents of the host than its limit. Rows without an id are one document of their host."""
+def common_lines(docs: DataFrame, least_documents: int) -> DataFrame:
+    """``document_lines``, alike ones counted as ``times``, of the lines that more than ``least_documents`` rows of their host hold.
+
+    No fewer rows hold a line than documents, so all others are out of the question. They are most
+    of the lines; only their partial counts per host cross an exchange, and what is left is written,
+    so that its size is known and few lines are sent to the documents instead of the documents to the lines.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    host = F.col("source").cast("string").alias("host")
     lines = F.array_distinct(F.transform(line_stats(text), lambda x: line_hash(x["raw"])))
-    held = docs.select(host, "doc_id", F.explode(lines).alias("line"))
+    held = docs.select(F.col("source").cast("string").alias("host"), F.explode(lines).alias("line"))
+    often = written(held.groupBy("host", "line").agg(F.count("*").alias("rows")).where(F.col("rows") > least_documents).select("host", "line"), "lines")
+    rows = document_lines(docs).alias("d").join(often.alias("o"), on_line("d", "o"), "left_semi")
+    return written(rows.groupBy("doc_id", "host", "t1", "t2", "line").agg(F.max("n").alias("n"), F.count("*").alias("times")), "held")
+
+
+def frequent_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, share: float = SHARE, most_documents: int = MOST_DOCUMENTS, common: DataFrame | None = None) -> DataFrame:
+    """(host, line) held by more distinct documents of the host than its limit. Rows without an id are one document of their host."""
+    held = common_lines(docs, least_documents) if common is None else common
     held = held.groupBy("host", "line", "doc_id").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > least_documents)
-    hosts = docs.select(host, "doc_id").groupBy("host", "doc_id").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("all_documents"))
+    hosts = docs.select(F.col("source").cast("string").alias("host"), "doc_id").groupBy("host", "doc_id").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("all_documents"))
     limit = F.least(F.col("all_documents") * share, F.lit(float(most_documents)))
     return held.alias("a").join(hosts.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host"))).where(F.col("documents") > limit).select("a.host", "line")
 
@@ -130,9 +147,8 @@ def without_frequent_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMEN
 def apply_rules(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, share: float = SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
     """doc_id, base measures, base_failed, removed_words, kept."""
     base = rule_rows(docs)
-    frequent = frequent_lines(docs, least_documents, share).alias("f")
-    d = document_lines(docs).alias("d")
-    hit = d.join(frequent, F.col("d.host").eqNullSafe(F.col("f.host")) & (F.col("d.line") == F.col("f.line")), "left_semi")
+    common = common_lines(docs, least_documents)
+    hit = common.alias("d").join(frequent_lines(docs, least_documents, share, common=common).alias("f"), on_line("d", "f"), "left_semi")
     # A repeated row repeats its lines: a line's words count once per row, so the sum is divided by the rows.
     removed = hit.groupBy("doc_id", "host", "t1", "t2").agg(F.sum(F.col("n") * F.col("times")).alias("removed_words")).alias("r")
     rows = base.groupBy("doc_id", "host", "t1", "t2", *[c for c in base.columns if c[:2] in ("n_", "wo")]).agg(F.count("*").alias("copies")).alias("b")
