@@ -241,7 +241,7 @@ def test_nearest_of_a_name_that_shares_its_vector(spark, tmp_path):
     assert got(literals.match_embedding(v, v, 0.5, block=1), "key1", "key2") == [("a", "a"), ("b", "b")]
 
 
-def test_total_without_all_pairs(spark):
+def test_total_and_asked_pairs_without_all_pairs(spark):
     r = random.Random(5)
     facts = lambda x: [(f"{x}{i}", p, f'"{r.randrange(n)}"^^xsd:string') for i in range(60) for p, n in (("day", 3), ("price", 25), ("kind", 2)) for _ in range(2)]
     t1, t2 = (graph.inverse_closure(triples(spark, facts(x))) for x in "ab")
@@ -249,3 +249,8 @@ def test_total_without_all_pairs(spark):
     every = {(e1, e2): s for e1, e2, s in got(now.same_as, "e1", "e2", "score")}
     for small in (0, 30, 10**6):
         assert rules.bootstrap_total(t1, t2, now.begin.blocks, now.begin.known, small) == pytest.approx(sum(every.values()), abs=1e-9)
+    asked = spark.createDataFrame([("a7",), ("a7",), ("a9",)], "e1 string")
+    assert {(e1, e2): s for e1, e2, s in got(now.same_as_of(asked), "e1", "e2", "score")} == {k: s for k, s in every.items() if k[0] in ("a7", "a9")}
+    # no plan pairs other nodes: what is asked for is joined before the blocks are opened
+    plan = now.same_as_of(asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftSemi") > plan.index("Join Inner")
