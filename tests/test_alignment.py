@@ -39,6 +39,21 @@ def test_functionality(spark):
     assert got(functionality.fact_pairs(many, 100), "oa", "ob") == sorted((f"{i:03}", f"{j:03}") for i in range(2) for j in range(i + 1, 60))[:100]
 
 
+def test_pair_functionality_makes_few_pairs(spark):
+    r = random.Random(8)
+    t = graph.inverse_closure(triples(spark, [(f"s{r.randrange(25)}", f"p{r.randrange(3)}", f"{'s' if r.random() < 0.3 else 'o'}{r.randrange(30)}") for _ in range(300)]))
+    for most in (7, 40, 10**6):
+        pairs = functionality.fact_pairs(t, most).collect()
+        want = {}
+        for x in pairs:
+            flip = [p[:-1] if p.endswith("-") else p + "-" for p in (x["pa"], x["pb"])]
+            want.setdefault(tuple(sorted(flip)), []).append(tuple(sorted((x["oa"], x["ob"]))))
+        assert {(a, b): f for a, b, f in got(functionality.pair_functionality(t, most), "pa", "pb", "f")} == {k: len(set(v)) / len(v) for k, v in want.items()}
+    # around a hub of 70,000 facts all pairs' numbers fit, and no pair of them is made
+    hub = spark.range(70000).selectExpr("'hub' as s", "'p' as p", "'o' || id as o")
+    assert got(functionality.pair_functionality(hub), "pa", "pb", "f") == [("p-", "p-", 1.0)]
+
+
 def test_local_functionality_of_lists(spark):
     t = triples(spark, [("a", "p", "x"), ("a", "p", "y"), ("b", "p", "y"), ("b", "p", "z"), ("c", "p", "w")])
     asked = spark.createDataFrame([(1, "a", "p"), (1, "b", "p"), (2, "a", "p"), (2, "c", "p")], "id int, s string, p string")
