@@ -99,6 +99,14 @@ def test_inclusion_adds_and_cuts(spark):
     assert got(rules.inclusion(src, dst, two, 3.0), "score") == [(1.0,)]
 
 
+def test_inclusion_of_closed_graphs(spark):
+    t1, t2 = (cut(graph.inverse_closure(triples(spark, x))) for x in two_graphs(3))
+    assign = cut(rules.bilateral_max(literals.map_literals(t1, t2).unionByName(pairs(spark, [(f"a:{i}", f"b:{i + i % 2}", 0.1 + i / 40) for i in range(30)]))))
+    want = got(rules.inclusion(t1, t2, assign, 3.0), "p", "q", "score")
+    have = got(rules.inclusion_of_closed(t1, t2, assign, 3.0), "p", "q", "score")
+    assert len(want) > 4 and [x[:2] for x in have] == [x[:2] for x in want] and [x[2] for x in have] == pytest.approx([x[2] for x in want])
+
+
 def test_guarded_merge(spark):
     old = pairs(spark, [("a", "x", 0.7)])
     assert got(rules.guarded_merge(old, pairs(spark, [("a", "y", 0.7), ("b", "z", 0.2)]), old), "e1", "e2", "score") == [("a", "x", 0.7), ("b", "z", 0.2)]
@@ -269,3 +277,24 @@ def test_total_and_asked_pairs_without_all_pairs(spark):
     # no plan pairs other nodes: what is asked for is joined before the blocks are opened
     plan = now.same_as_of(asked)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join LeftSemi") > plan.index("Join Inner")
+
+
+def test_all_pairs_from_classes(spark):
+    r = random.Random(6)
+    facts = lambda x: [(f"{x}{i}", p, f'"{r.randrange(n)}"^^xsd:string') for i in range(50) for p, n in (("day", 3), ("price", 25), ("kind", 2)) for _ in range(2)]
+    t1, t2 = (cut(graph.inverse_closure(triples(spark, facts(x)))) for x in "ab")
+    now = Aligner(t1, t2).start()
+    plain = cut(now.begin.rows())
+    old, want = {}, {}
+    for e1, e2, x in got(plain, "e1", "e2", "score"):
+        old[e1, e2] = max(x, old.get((e1, e2), 0))
+    higher = [(e1, e2, 0.5) for e1, e2 in r.sample(sorted(old), 200)] + [("a1", "new", 0.3), ("new", "b1", 1.0)]
+    want = old | {(e1, e2): max(x, old.get((e1, e2), 0)) for e1, e2, x in higher}
+    risen = cut(pairs(spark, higher))
+    for small in (0, 30):
+        parts = rules.bootstrap_parts(t1, t2, now.begin.blocks, now.begin.known, small)
+        made = parts.rows(risen, chunk=7)
+        assert got(made, "e1", "e2", "score") == sorted((*k, x) for k, x in want.items())
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Exchange")  # opened pairs go through no exchange
+    assert got(parts.scores(risen), "e1", "e2", "score") == sorted((e1, e2, old[e1, e2]) for e1, e2, _ in higher if (e1, e2) in old)
