@@ -211,6 +211,16 @@ def test_four_triples_with_a_known_answer(spark):
         ('"Elvis"', "owl:sameAs", '"Elvis"', 1.0), ("yago:Elvis", "owl:sameAs", "dbp:Elvis", 1.0)])
 
 
+def test_the_last_round_makes_no_inclusions(spark, monkeypatch):
+    made = []
+    plain = rules.inclusion_of_closed
+    monkeypatch.setattr(rules, "inclusion_of_closed", lambda *x: made.append(1) or plain(*x))
+    a = Aligner(*(graph.inverse_closure(triples(spark, [(f"{x}:1", "label", '"n"'), (f"{x}:1", f"{x}:at", f"{x}:2")])) for x in "ab"))
+    now = a.round(a.start())
+    assert ("a:1", "b:1", 1.0) in got(now.same_as, "e1", "e2", "score") and len(made) == 2
+    assert now.sub12.count() >= 2 and len(made) == 4
+
+
 def test_scores_only_grow_and_stay_in_bounds(spark):
     a, b = [], []
     for i in range(12):
