@@ -201,6 +201,39 @@ def test_short_ways_agree_with_the_long_ones(spark):
         assert got(rules.chosen_evidence(t1, t2, assign, quasi, hub=hub), *cols) == want
 
 
+def test_chosen_evidence_leaves_hubs_closed(spark, monkeypatch):
+    n = 150
+    facts = lambda x: [(f"{x}{i}", f"{x}:{p}", f'"{v}"') for i in range(n) for p, v in (("price", i), ("day", "d"), ("kind", "k"))]
+    t1, t2 = (cut(graph.inverse_closure(triples(spark, facts(x)))) for x in "ab")
+    assign = pairs(spark, [(f'"{v}"', f'"{v}"', 1.0) for v in [*range(n), "d", "k"]])
+    quasi = spark.createDataFrame([(f"a:{p}{i}", f"b:{p}{i}", 0.5) for p in ("price", "day", "kind") for i in ("", "-")], "p string, q string, score double")
+    sizes = []
+
+    def counted(df):
+        out = cut(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(rules, "cut", counted)
+    found = got(rules.chosen_evidence(t1, t2, assign, quasi), "s1", "s2", "o", "rk")
+    assert found == sorted((f"a{i}", f"b{i}", f'"{v}"', k + 1) for i in range(n) for k, v in enumerate((i, "d", "k")))
+    assert max(sizes) < 10 * n  # all pairs around a hub are n * n
+
+
+def test_chosen_evidence_with_many_partners(spark):
+    cols = ("s1", "s2", "o", "pm", "o2", "q", "rk")
+    ranks = set()
+    for seed, hub in ((1, 0), (2, 2)):
+        r = random.Random(seed)
+        t1, t2 = (cut(graph.inverse_closure(triples(spark, [(f"{x}{r.randrange(14)}", f"{x}:{r.choice('pqr')}", f"{x}{r.randrange(14)}") for _ in range(40)]))) for x in "ab")
+        assign = pairs(spark, [(*k, x) for k, x in {(f"a{r.randrange(10)}", f"b{r.randrange(14)}"): r.choice((0.3, 0.5, 0.97)) for _ in range(14)}.items()])
+        quasi = spark.createDataFrame([(f"a:{p}{i}", f"b:{q}{j}", r.choice((0.2, 0.4))) for p in "pqr" for q in "pqr" for i in ("", "-") for j in ("", "-") if r.random() < 0.4], "p string, q string, score double")
+        want = got(rules.evidence_selection(rules.evidence_search(t1, t2, assign, quasi), assign), *cols)
+        ranks |= {x[-1] for x in want}
+        assert got(rules.chosen_evidence(t1, t2, assign, quasi, hub=hub), *cols) == want
+    assert ranks >= {1, 2}
+
+
 def test_four_triples_with_a_known_answer(spark):
     a = [("yago:Elvis", "rdfs:label", '"Elvis"'), ("yago:Elvis", "yago:marriedTo", "yago:Priscilla")]
     b = [(s.replace("yago", "dbp"), p.replace("yago", "dbp"), o.replace("yago", "dbp")) for s, p, o in a]
