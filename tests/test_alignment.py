@@ -234,6 +234,22 @@ def test_chosen_evidence_with_many_partners(spark):
     assert ranks >= {1, 2}
 
 
+def test_scores_of_single_pieces(spark):
+    facts = lambda x: [(f"{x}{i}", f"{x}:{p}", f'"{v}"') for i in range(20) for p, v in (("day", i % 2), ("price", i if i < 5 else -i)) if x == "a" or p == "day" or i != 7]
+    t1, t2 = (cut(graph.inverse_closure(triples(spark, facts(x)))) for x in "ab")
+    assign = cut(pairs(spark, [*((f'"{v}"', f'"{v}"', 0.7) for v in range(5)), ("a9", "b9", 0.5), ("a8", "b2", 0.05)]))
+    quasi = spark.createDataFrame([(f"a:{p}{i}", f"b:{p}{i}", 0.3) for p in ("price", "day") for i in ("", "-")], "p string, q string, score double")
+    fun = spark.createDataFrame([("a:day-", 0.08), ("b:price-", 0.9)], "p string, f double")
+    fun2 = spark.createDataFrame([("a:day-", "a:price-", 0.6)], "pa string, pb string, f double")
+    chosen = rules.chosen_parts(t1, t2, assign, quasi)
+    assert chosen.single.count() > 0 and chosen.ranked.count() > 0
+    plain = cut(rules.rule_scores(chosen.rows(), t1, t2, fun, fun2))
+    assert got(rules.chosen_scores(chosen, t1, t2, fun, fun2), "e1", "e2", "score") == got(plain, "e1", "e2", "score")
+    fresh = cut(rules.chosen_scores(chosen, t1, t2, fun, fun2, assign))
+    assert fresh.where("e1 = 'a9'").count() == 0 < plain.where("e1 = 'a9'").count()
+    assert got(rules.guarded(fresh, assign), "e1", "e2", "score") == got(rules.guarded(plain, assign), "e1", "e2", "score")
+
+
 def test_four_triples_with_a_known_answer(spark):
     a = [("yago:Elvis", "rdfs:label", '"Elvis"'), ("yago:Elvis", "yago:marriedTo", "yago:Priscilla")]
     b = [(s.replace("yago", "dbp"), p.replace("yago", "dbp"), o.replace("yago", "dbp")) for s, p, o in a]
