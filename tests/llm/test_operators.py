@@ -410,3 +410,21 @@ def test_pack_query_rows(spark):
     want = {i: lib.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
     assert check_pieces([tuple(x) for x in packing.pack(docs, WORD).collect()], want, 4096) == 0
     assert packing.pack(docs.limit(0), WORD).collect() == []
+
+
+def test_a_tree_works_on_each_node_once(monkeypatch):
+    from twinegraph.llm import vptree
+
+    r = np.random.default_rng(4)
+    points, queries = (x / np.linalg.norm(x, axis=1)[:, None] for x in (r.normal(size=(3000, 48)), r.normal(size=(300, 48))))
+    tree = vptree.Tree(points, leaf=16)
+    calls, plain = [], vptree.apart
+    monkeypatch.setattr(vptree, "apart", lambda *x: calls.append(1) or plain(*x))
+    found = tree.search(queries, 5, np.full(300, -np.inf), 1.0)
+    assert len(calls) <= 4 * len(tree.nodes)  # nothing is near enough to rule much out; once per way to a node they were tens of thousands
+    products = queries @ points.T
+    want = np.sort(products, axis=1)[:, -5]
+    for (rows, last), p, w in zip(found, products, want, strict=True):
+        assert sorted(rows.tolist()) == np.flatnonzero(p >= w - 1e-12).tolist() and last == pytest.approx(w)
+    high = tree.search(queries, 5, np.full(300, 2.0), 1.0)
+    assert all(rows.size == 0 and last == -np.inf for rows, last in high)

@@ -18,8 +18,8 @@ learns the (k + 1)-th best product there. A second pass sends it to every other
 pivot distance does not rule out. In a tree, a half is skipped when
 ``factor`` * (distance to the vantage point past the median) exceeds the distance that the (k + 1)-th product so far stands for;
 the same factor scales the bound of whole shards. Factor 1 restores exact search, greater factors skip more.
-All queries that reach a node are worked on together, and all entries that tie with the last place, within
-rounding, are kept until the exact products and then the least ids rank them.
+Queries go to the leaf on their own side first; then all queries that reach a node are worked on together, each node once.
+All entries that tie with the last place, within rounding, are kept until the exact products and then the least ids rank them.
 
 Vectors that are null, empty, zero or hold null or non-finite components take
 no part; nor do vectors of another length than the most common one. Rows that
@@ -86,7 +86,7 @@ class Tree:
         return me
 
     def search(self, queries: np.ndarray, k: int, floor: np.ndarray, factor: float) -> list[tuple[np.ndarray, float]]:
-        """For each query the rows whose product may be among the k largest and no less than ``floor``, all that tie included, and the k-th product (-inf if fewer)."""
+        """For each query the rows whose product may be among the k largest and no less than ``floor``, all that tie included, and the k-th product of those (-inf if fewer)."""
         out: list[tuple[np.ndarray, float]] = []
         for lo in range(0, queries.shape[0], QUERY_BLOCK):
             out += self._block(queries[lo : lo + QUERY_BLOCK], k, floor[lo : lo + QUERY_BLOCK], factor)
@@ -102,32 +102,55 @@ class Tree:
         least = floor.astype(np.float64)
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
+        def leaf(lo: int, hi: int, who: np.ndarray) -> None:
+            own = self.order[lo:hi]
+            products = queries[who] @ self.points[own].T
+            q, x = np.nonzero(products >= (least[who] - blur[who])[:, None])
+            if not q.size:
+                return
+            kept.append((who[q], own[x], products[q, x]))
+            hit = np.unique(q)  # the others' best stay as they are
+            both = np.concatenate([best[who[hit]], products[hit]], axis=1)
+            best[who[hit]] = -np.partition(-both, k - 1, axis=1)[:, :k]
+            least[who[hit]] = np.maximum(least[who[hit]], best[who[hit]].min(axis=1))
+
+        def sides(node: int, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            _, _, v, median, _, _ = self.nodes[node]
+            d = apart(self.longest, length[who], queries[who] @ self.points[v])
+            return d, d < median
+
+        home = np.empty(n, np.int64)  # the leaf on a query's own side all the way down
+
+        def settle(node: int, who: np.ndarray) -> None:
+            lo, hi, v, _, near, far = self.nodes[node]
+            if v < 0:
+                home[who] = node
+                leaf(lo, hi, who)
+                return
+            _, inner = sides(node, who)
+            for child, own in ((near, who[inner]), (far, who[~inner])):
+                if own.size:
+                    settle(child, own)
+
         def visit(node: int, who: np.ndarray) -> None:
             lo, hi, v, median, near, far = self.nodes[node]
             if v < 0:
-                own = self.order[lo:hi]
-                products = queries[who] @ self.points[own].T
-                q, x = np.nonzero(products >= (least[who] - blur[who])[:, None])
-                kept.append((who[q], own[x], products[q, x]))
-                both = np.concatenate([best[who], products], axis=1)
-                best[who] = -np.partition(-both, k - 1, axis=1)[:, :k]
-                least[who] = np.maximum(least[who], best[who].min(axis=1))
+                who = who[home[who] != node]
+                if who.size:
+                    leaf(lo, hi, who)
                 return
-            d = apart(self.longest, length[who], queries[who] @ self.points[v])
-            inner = d < median
-            for first, mine in ((near, inner), (far, ~inner)):
-                own = who[mine]
+            d, inner = sides(node, who)
+            for child, mine in ((near, inner), (far, ~inner)):
+                reach = apart(self.longest, length[who], least[who])
+                own = who[mine | ~beyond(factor * np.abs(d - median), reach, self.longest + length[who])]
                 if own.size:
-                    visit(first, own)
-            for second, mine in ((far, inner), (near, ~inner)):
-                own = who[mine]
-                if own.size:
-                    reach = apart(self.longest, length[own], least[own])
-                    own = own[~beyond(factor * np.abs(d[mine] - median), reach, self.longest + length[own])]
-                    if own.size:
-                        visit(second, own)
+                    visit(child, own)
 
+        # Own leaves first, for bounds; then every node once, with all queries that it is not ruled out for.
+        settle(0, np.arange(n))
         visit(0, np.arange(n))
+        if not kept:
+            return [(np.zeros(0, np.int64), -np.inf)] * n
         who, rows, products = (np.concatenate(x) for x in zip(*kept, strict=True))
         on = products >= (least - blur)[who]
         who, rows = who[on], rows[on]
