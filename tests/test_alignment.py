@@ -54,6 +54,16 @@ def test_pair_functionality_makes_few_pairs(spark):
     assert got(functionality.pair_functionality(hub), "pa", "pb", "f") == [("p-", "p-", 1.0)]
 
 
+def test_alignment_counts_all_pairs_of_a_hub(spark):
+    # 500 facts have 124,750 pairs; the one that another subject has too is the last of them
+    rows = [("hub", "p", f"o{i:03}") for i in range(500)] + [("other", "p", "o498"), ("other", "p", "o499")]
+    t = graph.inverse_closure(triples(spark, rows))
+    found = {(a, b): f for a, b, f in got(Aligner(t, t).fun2, "pa", "pb", "f")}
+    assert found == {("p-", "p-"): 124_750 / 124_751, ("p", "p"): 0.5}
+    capped = {(a, b): f for a, b, f in got(functionality.pair_functionality(t, functionality.MOST_PAIRS), "pa", "pb", "f")}
+    assert capped == {("p-", "p-"): 1.0, ("p", "p"): 0.5}
+
+
 def test_local_functionality_of_lists(spark):
     t = triples(spark, [("a", "p", "x"), ("a", "p", "y"), ("b", "p", "y"), ("b", "p", "z"), ("c", "p", "w")])
     asked = spark.createDataFrame([(1, "a", "p"), (1, "b", "p"), (2, "a", "p"), (2, "c", "p")], "id int, s string, p string")
