@@ -333,6 +333,28 @@ def test_nearest_of_a_name_that_shares_its_vector(spark, tmp_path):
     assert got(literals.match_embedding(v, v, 0.5, block=1), "key1", "key2") == [("a", "a"), ("b", "b")]
 
 
+def test_own_names_need_no_search(spark, monkeypatch):
+    r = random.Random(9)
+
+    def vec():
+        x = [r.gauss(0, 1) for _ in range(8)]
+        n = sum(v * v for v in x) ** 0.5
+        return [v / n for v in x]
+
+    have = {f"k{i}": vec() for i in range(40)}
+    here = {k: v for k, v in have.items() if k < "k3"} | {f"n{i}": vec() for i in range(6)} | {"k30": vec()}  # k30 has another vector there
+    searched = []
+    blocks = literals._block_nearest
+    monkeypatch.setattr(literals, "_block_nearest", lambda e1, *x: searched.extend(q["key"] for q in e1.collect()) or blocks(e1, *x))
+    one, two = (spark.createDataFrame(list(x.items()), "key string, vec array<double>") for x in (here, have))
+    found = {a: (b, s) for a, b, s in got(literals.match_embedding(one, two, -2.0, 7), "key1", "key2", "score")}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = {k: max((dot(v, w), n) for n, w in have.items()) for k, v in here.items()}
+    assert {k: b for k, (b, _) in found.items()} == {k: n for k, (_, n) in want.items()}
+    assert {k: s for k, (_, s) in found.items()} == pytest.approx({k: s for k, (s, _) in want.items()})
+    assert sorted(searched) == sorted(k for k in here if k not in have or k == "k30")
+
+
 def test_total_and_asked_pairs_without_all_pairs(spark):
     r = random.Random(5)
     facts = lambda x: [(f"{x}{i}", p, f'"{r.randrange(n)}"^^xsd:string') for i in range(60) for p, n in (("day", 3), ("price", 25), ("kind", 2)) for _ in range(2)]
