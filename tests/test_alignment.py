@@ -181,6 +181,19 @@ def test_rule_prefixes_and_pattern(spark):
     assert got(rules.rule_scores(unlike, t1, t2, fun, fun2), "score") == [(0.4,)]
 
 
+def test_a_piece_with_one_neighbour_settles_what_is_shared(spark, monkeypatch):
+    facts = lambda x: [(f"{x}{i}", f"{x}:{p}", f'"{v}"') for i in range(30) for p, v in (("price", i if i != 8 else 7), ("day", "d"), ("kind", "k"))]
+    t1, t2 = (cut(graph.inverse_closure(triples(spark, facts(x)))) for x in "ab")
+    cols = "s1 string, s2 string, o string, pm string, o2 string, q string, va double, vq double, rk int"
+    rows = [(f"a{i}", f"b{i}", f'"{v}"', f"a:{p}-", f'"{v}"', f"b:{p}-", 1.0, 0.5, k) for i in range(10) for k, (p, v) in enumerate((("price", i if i != 8 else 7), ("day", "d"), ("kind", "k")), 1)]
+    looked, shared = [], rules._shared
+    monkeypatch.setattr(rules, "_shared", lambda asked, *x: looked.append({r["s1"] for r in asked.collect()}) or shared(asked, *x))
+    fun, fun2 = (spark.createDataFrame([], c) for c in ("p string, f double", "pa string, pb string, f double"))
+    found = dict(got(rules.rule_scores(spark.createDataFrame(rows, cols), t1, t2, fun, fun2), "e1", "score"))
+    assert found == {f"a{i}": 0.5 for i in range(10)}  # a7 and a8 share their price: 1 / 2
+    assert looked == [{"a7", "a8"}] * 2
+
+
 def two_graphs(seed):
     """Two random graphs around shared hubs, literals and rare nodes."""
     r = random.Random(seed)
