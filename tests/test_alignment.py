@@ -54,6 +54,12 @@ def test_pair_functionality_makes_few_pairs(spark):
     assert got(functionality.pair_functionality(hub), "pa", "pb", "f") == [("p-", "p-", 1.0)]
 
 
+def test_pair_functionality_joins_groups_once(spark):
+    t = triples(spark, [("a", "p", "1"), ("a", "q", "2"), ("b", "p", "1"), ("b", "q", "2")])
+    plan = functionality.pair_functionality(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2  # of repeated objects, and of their count; the facts hold their subject's groups
+
+
 def test_alignment_counts_all_pairs_of_a_hub(spark):
     # 500 facts have 124,750 pairs; the one that another subject has too is the last of them
     rows = [("hub", "p", f"o{i:03}") for i in range(500)] + [("other", "p", "o498"), ("other", "p", "o499")]
